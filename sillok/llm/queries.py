@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sillok.llm import neardup
-from sillok.session import table
+from sillok.functions.urls import canonical_url
+from sillok.llm import lookalike, neardup
+from sillok.llm.history import HistoryIndex
+from sillok.session import scratch_path, table
 
 #: What TESTDATA.md calls alike.
 POSTINGS_ALIKE = neardup.Likeness(shingle=3, threshold=0.6)
@@ -26,5 +28,26 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("id_a").alias("ordinal_a"), F.col("id_b").alias("ordinal_b"))
 
 
-QUERIES = {"p2_found": p2_found}
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All runs but the last fill the index, the last one is checked against it; both go through the same operator."""
+    job = table(spark, sf_dir, "job")
+    long_enough = F.size(neardup.words(F.coalesce("description", F.lit("")))) >= LEAST_WORDS
+    rows = job.select(
+        F.col("ordinal").alias("id"), "batch_no", canonical_url(F.col("url")).alias("address"),
+        F.when(long_enough, neardup.plain_text("title", "company", "description")).alias("text"),
+    )
+    last = job.agg(F.max("batch_no")).first()[0]
+    index = HistoryIndex(spark, scratch_path(spark, "history"), POSTINGS_ALIKE)
+    found = index.add_batch(rows.filter((F.col("batch_no") != last) | F.col("batch_no").isNull()))
+    found = found.unionByName(index.add_batch(rows.filter(F.col("batch_no") == last)))
+    return found.select(F.col("id_a").alias("ordinal_a"), F.col("id_b").alias("ordinal_b"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    companies = table(spark, sf_dir, "companies_2").select(F.lit("companies_2").alias("src"), F.col("id").alias("rec_key"), F.col("name_ko").alias("text"))
+    job = table(spark, sf_dir, "job").select(F.lit("job").alias("src"), F.col("ordinal").cast("string").alias("rec_key"), F.col("title").alias("text"))
+    return lookalike.not_plain(companies.unionByName(job), "text").drop("text")
+
+
+QUERIES = {"p5_found": p5_found, "p2_found": p2_found, "p4_found": p4_found}
 ORACLES: dict[str, str] = {}
