@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sillok.functions.urls import canonical_url
-from sillok.llm import lookalike, neardup
+from sillok.llm import lookalike, neardup, residue
 from sillok.llm.history import HistoryIndex
 from sillok.session import scratch_path, table
 
@@ -28,6 +28,13 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("id_a").alias("ordinal_a"), F.col("id_b").alias("ordinal_b"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    companies = table(spark, sf_dir, "companies_3").select(F.lit("companies_3").alias("src"), F.col("id").alias("rec_key"), F.array("verification.title").alias("texts"))
+    live = table(spark, sf_dir, "integration_live").select(F.lit("integration_live").alias("src"), F.col("acq_no").cast("string").alias("rec_key"), F.col("diagnostics").alias("texts"))
+    job = table(spark, sf_dir, "job").select(F.lit("job").alias("src"), F.col("ordinal").cast("string").alias("rec_key"), F.array("description").alias("texts"))
+    return residue.with_residue(companies.unionByName(live).unionByName(job), "texts", "src", "rec_key").select("src", "rec_key")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All runs but the last fill the index, the last one is checked against it; both go through the same operator."""
     job = table(spark, sf_dir, "job")
@@ -49,5 +56,5 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.not_plain(companies.unionByName(job), "text").drop("text")
 
 
-QUERIES = {"p5_found": p5_found, "p2_found": p2_found, "p4_found": p4_found}
+QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p2_found": p2_found, "p4_found": p4_found}
 ORACLES: dict[str, str] = {}
