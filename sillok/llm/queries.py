@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sillok.functions.urls import canonical_url
-from sillok.llm import lookalike, neardup, residue
+from sillok.llm import encode, lookalike, mixing, neardup, residue
 from sillok.llm.history import HistoryIndex
 from sillok.session import scratch_path, table
 
@@ -56,5 +56,26 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.not_plain(companies.unionByName(job), "text").drop("text")
 
 
-QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p2_found": p2_found, "p4_found": p4_found}
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").select("doc_id", "ids")
+
+
+def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = encode.encode(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "text")
+    path = scratch_path(spark, "sizes")
+    docs.select("doc_id", "source", F.size("ids").cast("long").alias("tokens")).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes, targets = _sizes(spark, sf_dir), table(spark, sf_dir, "mix_target")
+    return mixing.shares(mixing.plan(sizes.select("source", "tokens"), targets), sizes, targets)
+
+
+def p8_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes, targets = _sizes(spark, sf_dir), table(spark, sf_dir, "mix_target")
+    return mixing.mix(sizes, mixing.plan(sizes.select("source", "tokens"), targets), "doc_id")
+
+
+QUERIES = {"p7_ids": p7_ids, "p8_shares": p8_shares, "p8_documents": p8_documents, "p3_found": p3_found, "p5_found": p5_found, "p2_found": p2_found, "p4_found": p4_found}
 ORACLES: dict[str, str] = {}
