@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sillok.functions.urls import canonical_url
-from sillok.llm import encode, lookalike, mixing, neardup, residue
+from sillok.llm import encode, lookalike, mixing, names, neardup, residue
 from sillok.llm.history import HistoryIndex
 from sillok.session import scratch_path, table
 
@@ -56,6 +56,20 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.not_plain(companies.unionByName(job), "text").drop("text")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    catalogue, others = table(spark, sf_dir, "companies_2"), table(spark, sf_dir, "companies_3")
+    fields = ("id", "name_ko", "name_en", "aliases", "homepage")
+    listed, unlisted = ([tuple(r) for r in t.select(*fields).limit(names.CATALOGUE_ROWS + 1).collect()] for t in (catalogue, others))  # the build refuses more
+    model = names.build_model(listed, unlisted)
+    own = [("companies_2", row, entity) for row, entity in sorted(model.entity.items()) if row != entity]
+    job = table(spark, sf_dir, "job").select("ordinal", "company").filter("company IS NOT NULL")
+    linked = names.link_names(model, job.groupBy("company").agg(F.count(F.lit(1)).alias("uses")), "company")
+    stated = spark.createDataFrame([(n, e) for e, spelled in sorted(model.stated.items()) for n in sorted(spelled)], "company string, entity string")
+    variants = linked.join(stated, ["company", "entity"], "left_anti")
+    found = job.join(variants, "company").select(F.lit("job").alias("src"), F.col("ordinal").cast("string").alias("rec_key"), F.col("entity").alias("entity_id"))
+    return found.unionByName(spark.createDataFrame(own, "src string, rec_key string, entity_id string"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").select("doc_id", "ids")
 
@@ -77,5 +91,5 @@ def p8_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(sizes, mixing.plan(sizes.select("source", "tokens"), targets), "doc_id")
 
 
-QUERIES = {"p7_ids": p7_ids, "p8_shares": p8_shares, "p8_documents": p8_documents, "p3_found": p3_found, "p5_found": p5_found, "p2_found": p2_found, "p4_found": p4_found}
+QUERIES = {"p6_found": p6_found, "p7_ids": p7_ids, "p8_shares": p8_shares, "p8_documents": p8_documents, "p3_found": p3_found, "p5_found": p5_found, "p2_found": p2_found, "p4_found": p4_found}
 ORACLES: dict[str, str] = {}
