@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 
@@ -53,6 +54,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver drop the shuffle files of finished steps now; else they stay until it happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path under the shared folder for a written table."""
     return f"{shared_dir(spark).rstrip('/')}/{label}-{os.urandom(8).hex()}"
