@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sillok.functions.urls import canonical_url
-from sillok.llm import encode, lookalike, mixing, names, neardup, residue
+from sillok.llm import abuse, encode, lookalike, mixing, names, neardup, residue
 from sillok.llm.history import HistoryIndex
 from sillok.session import scratch_path, table
 
@@ -91,5 +91,20 @@ def p8_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(sizes, mixing.plan(sizes.select("source", "tokens"), targets), "doc_id")
 
 
-QUERIES = {"p6_found": p6_found, "p7_ids": p7_ids, "p8_shares": p8_shares, "p8_documents": p8_documents, "p3_found": p3_found, "p5_found": p5_found, "p2_found": p2_found, "p4_found": p4_found}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "review_label"), "doc_id", "text", abuse.THRESHOLD).select("doc_id")
+
+
+def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "review_label"), "doc_id", "text")
+
+
+def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = p9_found(spark, sf_dir).withColumn("bad", F.lit(1))
+    rated = docs.select("doc_id", "source").join(found, "doc_id", "left")
+    return rated.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.coalesce("bad", F.lit(0))).alias("abusive")).withColumn("rate", F.col("abusive") / F.col("documents"))
+
+
+QUERIES = {"p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates, "p6_found": p6_found, "p7_ids": p7_ids, "p8_shares": p8_shares, "p8_documents": p8_documents, "p3_found": p3_found, "p5_found": p5_found, "p2_found": p2_found, "p4_found": p4_found}
 ORACLES: dict[str, str] = {}
