@@ -8,6 +8,7 @@ template may hide one.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import eq
 
 import pandas as pd
 import pyarrow as pa
@@ -15,10 +16,12 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sillok.session import bounded_broadcast
+from sillok.session import bounded_broadcast, cut
 
-#: Token positions below the token count that form the path to a leaf, and the share of equal tokens that joins a template.
-DEPTH, SIMILAR = 2, 0.75
+#: Leading tokens below the token count that form the path to a leaf, for lines of up to LONG tokens and for longer ones; the share of equal tokens that joins a template.
+DEPTH, LONG, DEPTH_LONG, SIMILAR = 2, 12, 5, 0.5
+#: Lines of at most so many tokens are templates of their own: a wildcard would be most of what they say.
+TERSE = 4
 #: Most distinct residue lines that are broadcast back to the records; beyond it the join shuffles.
 BROADCAST_LINES = 50_000
 
@@ -106,10 +109,10 @@ class PrefixTree:
             self.leaf, self.templates = leaf, []
         best, score = -1, -1.0
         for i, template in enumerate(self.templates):
-            same = sum(a == b for a, b in zip(template, tokens, strict=True)) / len(tokens)
+            same = sum(map(eq, template, tokens)) / len(tokens)
             if same > score:
                 best, score = i, same
-        if best >= 0 and score >= SIMILAR:
+        if best >= 0 and score >= (1 if len(tokens) <= TERSE else SIMILAR):
             self.templates[best] = [a if a == b else "<*>" for a, b in zip(self.templates[best], tokens, strict=True)]
             return best
         self.templates.append(tokens)
@@ -149,16 +152,18 @@ def _mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def masked_lines(text: Column) -> Column:
-    """Distinct trimmed lines of a text, numbers as 0 and addresses as URL; null and empty texts give none."""
+    """Distinct trimmed sentences of the lines of a text, numbers as 0 and addresses as URL; null and empty texts give none."""
     masked = F.regexp_replace(F.regexp_replace(text, r"https?://[^\s\"'<>]+", "URL"), r"[0-9]+", "0")
-    return F.filter(F.array_distinct(F.transform(F.split(masked, r"[\r\n]+"), lambda x: F.trim(x))), lambda x: x != "")
+    return F.filter(F.array_distinct(F.transform(F.split(masked, r"[\r\n]+|(?<=[.!?]) +(?=\S)"), lambda x: F.trim(x))), lambda x: x != "")
 
 
 def residue_lines(lines: DataFrame) -> DataFrame:
     """``line, template, kind`` of the distinct residue lines among ``line``; copies are merged before the shuffle."""
     distinct = lines.select("line").distinct()
     tokens = F.split(F.trim(F.regexp_replace("line", r"\s+", " ")), " ")
-    leaf = F.xxhash64(F.size(tokens), *[F.coalesce(F.get(tokens, k), F.lit("")) for k in range(DEPTH)])
+    deep = F.size(tokens) > LONG
+    path = [F.when(deep if k >= DEPTH else F.lit(True), F.get(tokens, k)) for k in range(DEPTH_LONG)]
+    leaf = F.xxhash64(F.size(tokens), *[F.coalesce(t, F.lit("")) for t in path])
     grouped = distinct.withColumn("leaf", leaf).repartition("leaf").sortWithinPartitions("leaf", "line")
     return grouped.select("leaf", "line").mapInArrow(_mine, "line string, template string, kind string")
 
@@ -170,7 +175,7 @@ def with_residue(records: DataFrame, texts: str, *key: str) -> DataFrame:
     """
     keep = [F.col(k).alias(f"_k{i}") for i, k in enumerate(key)]
     lines = records.select(*keep, F.explode(F.flatten(F.transform(F.filter(F.col(texts), lambda t: t.isNotNull()), masked_lines))).alias("line"))
-    bad = residue_lines(lines)
+    bad = cut(residue_lines(lines))
     met = lines.join(bounded_broadcast(bad.select("line", "kind"), BROADCAST_LINES, 300), "line")
     return met.groupBy(*[f"_k{i}" for i in range(len(key))]).agg(F.array_sort(F.collect_set("kind")).alias("kinds")).select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(key)], "kinds")
 
