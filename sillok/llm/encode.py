@@ -21,6 +21,9 @@ JAVA_SPLIT = r"(?U)'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+
 PYTHON_SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+_KEY = "__sillok_text_key"
+
+
 def _encoder(folder: str, name: str):
     import tiktoken
 
@@ -61,20 +64,20 @@ def encode(df: DataFrame, text: str, ids: str = "ids", folder: str = VOCABULARIE
 
     Repeated rows and equal texts keep their rows; the other columns stay as they are. Text of special tokens is ordinary text.
     """
-    keyed = df.withColumn("_text_key", F.md5(F.col(text)))
-    texts = keyed.filter(F.length(text) > 0).groupBy("_text_key").agg(F.first(text).alias("_text"))
+    keyed = df.withColumn(_KEY, F.md5(F.col(text)))
+    texts = keyed.filter(F.length(text) > 0).groupBy(_KEY).agg(F.first(text).alias("_text"))
     # characters the JVM's Unicode tables do not know are split by the encoder itself
     strange = F.col("_text").rlike(r"\p{Cn}")
-    whole = texts.filter(strange).select("_text_key", encoded_column(F.col("_text"), folder, name).alias(ids))
-    pieces = texts.filter(~strange).select("_text_key", F.posexplode(F.regexp_extract_all("_text", F.lit(JAVA_SPLIT), F.lit(0))).alias("_pos", "word"))
+    whole = texts.filter(strange).select(_KEY, encoded_column(F.col("_text"), folder, name).alias(ids))
+    pieces = texts.filter(~strange).select(_KEY, F.posexplode(F.regexp_extract_all("_text", F.lit(JAVA_SPLIT), F.lit(0))).alias("_pos", "word"))
     table = word_table(pieces.select("word"), folder, name)
     frequent = table.filter(F.length("word") <= LONGEST).orderBy(F.desc("uses"), "word").limit(FREQUENT).select("word", F.col("ids").alias("_ids"))
     met = pieces.join(F.broadcast(frequent), "word", "left")
     rare = met.filter(F.col("_ids").isNull()).drop("_ids").join(table.select("word", F.col("ids").alias("_ids")), "word")
     placed = met.filter(F.col("_ids").isNotNull()).unionByName(rare)
-    joined = placed.groupBy("_text_key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_ids"))), lambda x: x["_ids"])).alias(ids))
+    joined = placed.groupBy(_KEY).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_ids"))), lambda x: x["_ids"])).alias(ids))
     done = joined.unionByName(whole)
-    return keyed.join(done, "_text_key", "left").withColumn(ids, F.coalesce(ids, F.array().cast("array<int>"))).drop("_text_key")
+    return keyed.join(done, _KEY, "left").withColumn(ids, F.coalesce(ids, F.array().cast("array<int>"))).drop(_KEY)
 
 
 def decode(encoded: DataFrame, key: str, ids: str = "ids", folder: str = VOCABULARIES, name: str = "byte_bpe_50k") -> DataFrame:

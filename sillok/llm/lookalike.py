@@ -28,6 +28,7 @@ _TWIN = {c: latin for twins in LATIN_TWINS.values() for c, latin in twins.items(
 _BACK = {script: {latin: c for c, latin in reversed(twins.items()) if latin.isalpha()} for script, twins in LATIN_TWINS.items() if script != "Latin"}
 _RUN = regex.compile(r"[\p{Latin}\p{Greek}\p{Cyrillic}\p{Armenian}\p{Cherokee}][\p{Latin}\p{Greek}\p{Cyrillic}\p{Armenian}\p{Cherokee}\p{Mn}]*")
 _SCRIPTS = {s: regex.compile(rf"\p{{{s}}}") for s in ("Latin", "Greek", "Cyrillic", "Armenian", "Cherokee")}
+_FOREIGN = regex.compile(r"[\p{Greek}\p{Cyrillic}\p{Armenian}\p{Cherokee}ɑɡ]")
 _SPACES = regex.compile(r"[\p{Z}\t\n\r\f\v\x1c-\x1f\x85]+")
 _DROPPED = regex.compile(r"[\p{Cf}\p{Cc}\p{Variation_Selector}\u034f\u115f\u1160\u17b4\u17b5\u2800\u3164\uffa0]")
 _PICTURE = regex.compile(r"[\p{Extended_Pictographic}\p{Emoji_Modifier}\u2640\u2642\u2695\u20e3]")
@@ -69,6 +70,8 @@ def plain_form(text: str | None) -> str | None:
     if not text:
         return text
     text = unicodedata.normalize("NFC", _SPACES.sub(" ", _visible(text)).strip().translate(_WIDE))
+    if not _FOREIGN.search(text):
+        return text
     certain = {_script(c) for c in text if not c.isascii() and c not in _TWIN} - {"", "Latin"}
 
     def resolve(run: regex.Match) -> str:

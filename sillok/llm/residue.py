@@ -22,6 +22,8 @@ from sillok.session import bounded_broadcast, cut
 DEPTH, LONG, DEPTH_LONG, SIMILAR = 2, 12, 5, 0.5
 #: Lines of at most so many tokens are templates of their own: a wildcard would be most of what they say.
 TERSE = 4
+#: Parts a leaf is mined in, so that no leaf is one task's work; a verdict needs no other part.
+PARTS = 8
 #: Most distinct residue lines that are broadcast back to the records; beyond it the join shuffles.
 BROADCAST_LINES = 50_000
 
@@ -163,7 +165,7 @@ def residue_lines(lines: DataFrame) -> DataFrame:
     tokens = F.split(F.trim(F.regexp_replace("line", r"\s+", " ")), " ")
     deep = F.size(tokens) > LONG
     path = [F.when(deep if k >= DEPTH else F.lit(True), F.get(tokens, k)) for k in range(DEPTH_LONG)]
-    leaf = F.xxhash64(F.size(tokens), *[F.coalesce(t, F.lit("")) for t in path])
+    leaf = F.xxhash64(F.size(tokens), *[F.coalesce(t, F.lit("")) for t in path], F.pmod(F.hash("line"), F.lit(PARTS)))
     grouped = distinct.withColumn("leaf", leaf).repartition("leaf").sortWithinPartitions("leaf", "line")
     return grouped.select("leaf", "line").mapInArrow(_mine, "line string, template string, kind string")
 
