@@ -108,11 +108,12 @@ class NameModel:
     near: dict[str, set[str]] = field(default_factory=lambda: defaultdict(set))  # deletion -> base forms
     near_part: dict[str, set[str]] = field(default_factory=lambda: defaultdict(set))
     prior: dict[str, int] = field(default_factory=dict)  # canonical name -> rows
+    longest: int = 0  # letters of the longest form; a longer spelling is no form with one error
 
     def parse(self, text: str) -> set[tuple[str, str]]:
         """(group, trade) readings of a key, in either order and language; a trade may be cut short or lose letters."""
         found = set()
-        for i in range(2, len(text)):
+        for i in range(2, len(text) if len(text) <= self.longest else 0):
             a, b = text[:i], text[i:]
             for g, t in ((a, b), (b, a)):
                 if g in self.groups and t in self.trades:
@@ -226,6 +227,8 @@ def build_model(catalogue: list[tuple], others: list[tuple] = ()) -> NameModel:
             model.known[group, trade] = listed
         for form in {group, hangul.get(group, group)}:
             model.groups[form].add(group)
+    size = lambda forms: max(map(len, forms), default=0)
+    model.longest = size(model.groups) + size(model.trades) + 2
     for entity, rows in members.items():
         listed = not str(entity).startswith("other:")
         for _, ko, en, aliases, _ in rows:
@@ -243,6 +246,7 @@ def build_model(catalogue: list[tuple], others: list[tuple] = ()) -> NameModel:
                 k = key(bare(name)) if name else ""
                 if k and entity not in split:
                     model.direct[k].add(entity)
+    model.longest = max(model.longest, size(model.direct) + 2)
     for (group, trade), _ in model.known.items():
         for g in {group, hangul.get(group, group)}:
             for t in {trade, trades[trade]}:
@@ -275,7 +279,7 @@ def exact_reading(model: NameModel, name: str | None) -> tuple[str | None, str |
         if len(model.direct.get(k, ())) == 1:
             (entity,) = model.direct[k]
             return entity, entity
-        for i in range(2, min(5, len(k))):
+        for i in range(2, min(5, len(k)) if len(k) <= model.longest else 0):
             if k[:i] in model.acronyms and k[i:] in model.trades:
                 fits = [e for e in model.acronyms[k[:i]] if any(model.known.get((g, t)) == e for g, t in model.known if t in model.trades[k[i:]] and model.known[g, t] == e)]
                 if len(fits) == 1:
@@ -298,7 +302,7 @@ def typed_reading(model: NameModel, name: str | None, uses: int) -> str | None:
             best[form] = (score, entity)
 
     for k in {key(p) for p in [text, *_BOTH.split(text)]}:
-        if len(letters(k)) < 5:
+        if len(k) > model.longest or len(letters(k)) < 5:
             continue
         for base in {b for d in _fuzzy_keys(k) for b in model.near.get(d, ())}:
             if typo(k, base):
