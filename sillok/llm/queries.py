@@ -107,4 +107,13 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates, "p6_found": p6_found, "p7_ids": p7_ids, "p8_shares": p8_shares, "p8_documents": p8_documents, "p3_found": p3_found, "p5_found": p5_found, "p2_found": p2_found, "p4_found": p4_found}
-ORACLES: dict[str, str] = {}
+#: Every pair by brute force over the shared runs of three words.
+ORACLES: dict[str, str] = {
+    "p2_found": """
+WITH w AS (SELECT ordinal, list_filter(regexp_split_to_array(coalesce(title, '') || ' ' || coalesce(company, '') || ' ' || coalesce(description, ''), '[ \\t\\n]+'), lambda x: x <> '') AS w
+  FROM job WHERE len(list_filter(regexp_split_to_array(coalesce(description, ''), '[ \\t\\n]+'), lambda x: x <> '')) >= 40),
+s AS (SELECT DISTINCT ordinal, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT ordinal, w, unnest(generate_series(1, len(w) - 2)) AS i FROM w)),
+n AS (SELECT ordinal, count(*) AS n FROM s GROUP BY ordinal),
+c AS (SELECT a.ordinal AS ordinal_a, b.ordinal AS ordinal_b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.ordinal < b.ordinal GROUP BY ALL)
+SELECT ordinal_a, ordinal_b FROM c JOIN n a ON a.ordinal = ordinal_a JOIN n b ON b.ordinal = ordinal_b WHERE k >= 0.6 * (a.n + b.n - k)""",
+}
