@@ -212,7 +212,7 @@ def near_duplicates(rows: DataFrame, like: Likeness) -> NearDuplicates:
     keyed = classes.select("rep", "text", "key", "copies").mapInArrow(
         _signature_batches(like), "rep long, text string, key binary, copies long, size int, sketch array<long>, cells array<long>"
     )
-    keyed.write.parquet(path)
+    keyed.write.option("compression", "zstd").parquet(path)
     signed = spark.read.parquet(path)
     cells = cells_of(signed)
     found = scratch_path(spark, "candidates")
