@@ -149,6 +149,13 @@ def q_deadline_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dates.with_strict_deadline(rows, "deadline_raw").select("ordinal", dates.deadline_state(F.col("strict"), F.col("deadline_raw"), NOW).alias("state"))
 
 
+@query()
+def q_deadline_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of every posting; the SQL of ``q_deadline_state`` says only those without clock and without Korean or dotted date."""
+    rows = table(spark, sf_dir, "job").select("ordinal", "deadline_raw")
+    return dates.with_strict_deadline(rows, "deadline_raw").select("ordinal", dates.deadline_state(F.col("strict"), F.col("deadline_raw"), NOW).alias("state"))
+
+
 _COLLAPSE = "trim(regexp_replace(coalesce({0},''), '[\\s\\x{{00a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+', ' ', 'g'))"
 
 
