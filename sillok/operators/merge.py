@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sillok.functions.urls import canonical_url, posting_id
+from sillok.session import scratch_path
 
 #: Fixed value: the note a record gets when a detail replaced a card.
 RETAINED = "Detailed text retained from an earlier or richer observation."
@@ -83,10 +84,15 @@ def stale_ids(postings: DataFrame, ordinal: str = "ordinal") -> DataFrame:
 
 
 def numbered(rows: DataFrame, *order: object, name: str = "rank") -> DataFrame:
-    """Ranks 1..n without a single-partition window: range partitions are numbered apart and shifted by the counts before them."""
+    """Ranks 1..n without a single-partition window: range partitions are numbered apart and shifted by the counts before them.
+
+    The bounds of the ranges come from a sample that differs from run to run, so the partitions are written once, and counts and ranks read the same ones.
+    """
     spark = rows.sparkSession
     placed = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    placed = placed.withColumn("_seq", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    path = scratch_path(spark, "ranks")
+    placed.withColumn("_seq", F.row_number().over(Window.partitionBy("_part").orderBy(*order))).write.parquet(path)
+    placed = spark.read.parquet(path)
     counts = sorted(placed.groupBy("_part").count().collect())  # one number a partition
     before, shift = 0, {}
     for part, n in counts:
