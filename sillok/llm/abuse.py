@@ -2,19 +2,20 @@
 
 Texts are brought to plain letters (look-alikes, disguises, spacing and case undone), cut into sentences, and each distinct sentence is scored once: the largest mean over a window of
 the log-ratio between a model of abusive and one of ordinary language. Both are interpolated Kneser-Ney models; their lowest orders share the pooled continuation
-counts, so a rare expression is weighed by the contexts it was met in and not by the size of either class.
+counts, so a rare expression is weighed by the contexts it was met in and not by the size of either class. The ordinary model is counted on all sentences of the corpus,
+as often as they occur, and never held in one place: grams are counted, interpolated and joined back as rows.
 """
 
 from __future__ import annotations
 
 import math
 import unicodedata
-from collections import Counter, defaultdict
+from collections import Counter
 from itertools import product
 
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sillok.llm.lookalike import plain_form
@@ -22,8 +23,8 @@ from sillok.session import bounded_broadcast, scratch_path
 
 #: Letters of a context plus one, discount, window of the score, and the score from which a sentence is abusive.
 ORDER, DISCOUNT, WINDOW, THRESHOLD = 6, 0.75, 12, 0.05
-#: Distinct sentences that train the ordinary model: the most frequent ones, and a seeded sample of all.
-FREQUENT_SENTENCES, SAMPLED_SENTENCES = 15_000, 30_000
+#: Letters of the sentences that are counted and scored together by one worker.
+CHUNK_LETTERS = 200_000
 #: Runs of letters known from abusive examples, and their share of a window from which a sentence does not train the ordinary model.
 TAINT_HANGUL, TAINT_LATIN, TAINTED = 3, 7, 0.5
 #: Most abusive sentences that are broadcast back to the documents.
@@ -101,89 +102,60 @@ def reviewed_examples() -> list[str]:
     return out + [*THREATS_KO, *SEXUAL_KO, *OTHER_EN]
 
 
-class KneserNey:
-    """Two interpolated Kneser-Ney models over letters whose unigram and bigram continuations are pooled."""
-
-    def __init__(self, abusive: list[str], ordinary: list[str]) -> None:
-        self.models = [self._count(abusive), self._count(ordinary)]
-        shared_pairs: dict[str, Counter] = defaultdict(Counter)
-        for counts in self.models:
-            for gram in counts[3]:
-                shared_pairs[gram[1]][gram[2]] += 1
-        single = Counter()
-        for left, rights in shared_pairs.items():
-            for c in rights:
-                single[c] += 1
-        self.pairs = {h: (c, sum(c.values())) for h, c in shared_pairs.items()}
-        self.single, self.total = single, sum(single.values()) or 1
-        self.tables = [self._tables(c) for c in self.models]
-        self.known: dict[str, float] = {}
-
-    @staticmethod
-    def _count(texts: list[str]) -> dict[int, Counter]:
+class Abusive:
+    """Letter counts of the abusive examples; they are few, so every worker holds them."""
+
+    def __init__(self, texts: list[str]) -> None:
         counts = {k: Counter() for k in range(3, ORDER + 1)}
         for text in texts:
-            padded = "^" * (ORDER - 1) + text
-            for k in counts:
-                counts[k].update(padded[i - k + 1 : i + 1] for i in range(ORDER - 1, len(padded)))
-        return counts
-
-    @staticmethod
-    def _tables(counts: dict[int, Counter]) -> dict[int, tuple[dict, dict, dict]]:
-        """By order: counts (continuations below the highest), their sums and numbers of successors by context."""
-        tables = {}
+            for gram in grams(text):
+                for k in counts:
+                    counts[k][gram[ORDER - k :]] += 1
+        #: Continuations of each pair of letters.
+        self.pairs = Counter(g[1:] for g in counts[3])
+        #: By order: counts (continuations below the highest), their sums and numbers of successors by context.
+        self.tables: dict[int, tuple[dict, dict, dict]] = {}
         for k in counts:
             use = counts[k] if k == ORDER else Counter(g[1:] for g in counts[k + 1])
             total, kinds = Counter(), Counter()
             for gram, n in use.items():
                 total[gram[:-1]] += n
                 kinds[gram[:-1]] += 1
-            tables[k] = (dict(use), dict(total), dict(kinds))
-        return tables
-
-    def _shared(self, gram: str) -> float:
-        base = (self.single.get(gram[-1], 0) + 0.1) / (self.total + 0.1 * 20_000)
-        counts, total = self.pairs.get(gram[-2], (None, 0))
-        if not total:
-            return base
-        return max(counts.get(gram[-1], 0) - DISCOUNT, 0) / total + DISCOUNT * len(counts) / total * base
-
-    def ratio(self, gram: str) -> float:
-        """Log-ratio of the last letter after its context, abusive to ordinary."""
-        if gram not in self.known:
-            logs = []
-            for tables in self.tables:
-                p = self._shared(gram)
-                for k in range(3, ORDER + 1):
-                    use, total, kinds = tables[k]
-                    part = gram[ORDER - k :]
-                    n = total.get(part[:-1], 0)
-                    if n:
-                        p = max(use.get(part, 0) - DISCOUNT, 0) / n + DISCOUNT * kinds[part[:-1]] / n * p
-                logs.append(math.log(p))
-            self.known[gram] = logs[0] - logs[1]
-            if len(self.known) > 2_000_000:
-                self.known.clear()
-                return logs[0] - logs[1]
-        return self.known[gram]
-
-    def score(self, sentence: str) -> float:
-        """The largest mean log-ratio over a window; shorter sentences count as one window padded by nothing in favour of either class."""
-        padded = "^" * (ORDER - 1) + sentence
-        ratios = [self.ratio(padded[i - ORDER + 1 : i + 1]) for i in range(ORDER - 1, len(padded))]
-        width = WINDOW
-        if len(ratios) <= width:
-            return sum(ratios) / max(len(ratios), 10)
-        run = best = sum(ratios[:width])
-        for i in range(width, len(ratios)):
-            run += ratios[i] - ratios[i - width]
-            best = max(best, run)
-        return best / width
-
-
-def tainted(sentence: str, grams: set[str]) -> bool:
+            self.tables[k] = (dict(use), dict(total), dict(kinds))
+
+    def chance(self, gram: str, shared: float) -> float:
+        """Probability of the last letter after its context, over the ``shared`` one of its pair."""
+        p = shared
+        for k in range(3, ORDER + 1):
+            use, total, kinds = self.tables[k]
+            part = gram[ORDER - k :]
+            n = total.get(part[:-1], 0)
+            if n:
+                p = max(use.get(part, 0) - DISCOUNT, 0) / n + DISCOUNT * kinds[part[:-1]] / n * p
+        return p
+
+
+def grams(sentence: str) -> list[str]:
+    """Each letter of a sentence after its context."""
+    padded = "^" * (ORDER - 1) + sentence
+    return [padded[i : i + ORDER] for i in range(len(sentence))]
+
+
+def window_score(ratios: list[float]) -> float:
+    """The largest mean log-ratio over a window; shorter sentences count as one window padded by nothing in favour of either class."""
+    width = WINDOW
+    if len(ratios) <= width:
+        return sum(ratios) / max(len(ratios), 10)
+    run = best = sum(ratios[:width])
+    for i in range(width, len(ratios)):
+        run += ratios[i] - ratios[i - width]
+        best = max(best, run)
+    return best / width
+
+
+def tainted(sentence: str, known: set[str]) -> bool:
     """Whether some window of a sentence is mostly made of runs known from abusive examples; such a sentence is of neither class."""
-    hits = [sentence[i : i + (TAINT_LATIN if sentence[i].isascii() else TAINT_HANGUL)] in grams for i in range(max(1, len(sentence) - (TAINT_LATIN if sentence.isascii() else TAINT_HANGUL) + 1))]
+    hits = [sentence[i : i + (TAINT_LATIN if sentence[i].isascii() else TAINT_HANGUL)] in known for i in range(max(1, len(sentence) - (TAINT_LATIN if sentence.isascii() else TAINT_HANGUL) + 1))]
     width = min(WINDOW - TAINT_HANGUL, len(hits))
     run = sum(hits[:width])
     best = run
@@ -193,14 +165,6 @@ def tainted(sentence: str, grams: set[str]) -> bool:
     return best >= TAINTED * width
 
 
-def train(labelled: list[tuple[str, str]], frequent: list[str]) -> KneserNey:
-    """Models from reviewed ``(text, category)`` rows, the fixed examples and a bounded set of sentences of the corpus."""
-    abusive = [undisguised(t) for t in reviewed_examples()] + [undisguised(t) for t, c in labelled if c != "none" for _ in range(4)]
-    grams = {t[i : i + n] for t in abusive for n in (TAINT_HANGUL, TAINT_LATIN) for i in range(len(t) - n + 1)}
-    ordinary = [t for t in dict.fromkeys(frequent) if not tainted(t, grams)] + [undisguised(t) for t, c in labelled if c == "none"]
-    return KneserNey(abusive, ordinary)
-
-
 def sentence_table(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``_key, sentence`` written once to the shared folder."""
 
@@ -213,12 +177,74 @@ def sentence_table(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.sparkSession.read.parquet(path)
 
 
-def scored_column(model: KneserNey, sentence: Column) -> Column:
+def chunk_counts(sentence: DataFrame, known: set[str]) -> DataFrame:
+    """``chunk, gram, use``: how often each gram of a chunk's sentences stands in its ordinary ones; 0 if only in tainted ones."""
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        use = Counter()
+        for s, n in zip(pdf["sentence"], pdf["n"], strict=True):
+            weight = 0 if tainted(s, known) else int(n)
+            for gram in grams(s):
+                use[gram] += weight
+        return pd.DataFrame({"chunk": pdf["chunk"].iloc[0], "gram": list(use.keys()), "use": list(use.values())})
+
+    return sentence.groupBy("chunk").applyInPandas(count, "chunk long, gram string, use long")
+
+
+def gram_ratios(counted: DataFrame, abusive: Abusive) -> DataFrame:
+    """``gram, ratio``: log-ratio of the last letter after its context, abusive to ordinary, for each gram of ``counted`` (``gram, use``).
+
+    Both are interpolated from the pair of letters upwards. A context has no more successors than there are letters, so its window stays short.
+    """
+    uses = {ORDER: counted.groupBy("gram").agg(F.sum("use").alias("use"))}
+    for k in range(ORDER - 1, 1, -1):
+        uses[k] = uses[k + 1].groupBy(F.right("gram", F.lit(k)).alias("gram")).agg(F.count_if(F.col("use") > 0).alias("use"))
+    of_context = lambda k: Window.partitionBy(F.left("gram", F.lit(k - 1)))
+    with_context = lambda df, k: df.withColumns({"total": F.sum("use").over(of_context(k)), "kinds": F.count_if(F.col("use") > 0).over(of_context(k))})
+    chance = lambda lower: F.when(F.col("total") > 0, F.greatest(F.col("use") - DISCOUNT, F.lit(0.0)) / F.col("total") + DISCOUNT * F.col("kinds") / F.col("total") * lower).otherwise(lower)
+    reviewed = counted.sparkSession.createDataFrame(list(abusive.pairs.items()), "gram string, use long")
+    pairs = uses[2].unionByName(reviewed).groupBy("gram").agg(F.sum("use").alias("use"))
+    single = pairs.filter("use > 0").groupBy(F.right("gram", F.lit(1)).alias("last")).agg(F.count(F.lit(1)).alias("lefts"))
+    whole = single.agg(F.sum("lefts")).first()[0] or 1
+    base = (F.coalesce("lefts", F.lit(0)) + 0.1) / (whole + 0.1 * 20_000)
+    found = with_context(pairs, 2).join(single, F.right("gram", F.lit(1)) == F.col("last"), "left").select("gram", chance(base).alias("shared")).withColumn("p", F.col("shared"))
+    for k in range(3, ORDER + 1):
+        below = found.select(F.col("gram").alias("below"), "shared", F.col("p").alias("lower"))
+        found = with_context(uses[k], k).join(below, F.right("gram", F.lit(k - 1)) == F.col("below")).select("gram", "shared", chance(F.col("lower")).alias("p"))
+
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return texts.map(model.score)
+    def log_ratio(gram: pd.Series, shared: pd.Series, p: pd.Series) -> pd.Series:
+        return pd.Series([math.log(abusive.chance(*x)) - math.log(q) for *x, q in zip(gram, shared, p, strict=True)], dtype=float)
 
-    return score(sentence)
+    return found.select("gram", log_ratio("gram", "shared", "p").alias("ratio"))
+
+
+def scored_sentences(distinct: DataFrame, labelled: list[tuple[str, str]]) -> DataFrame:
+    """``sentence, score`` of distinct sentences (``sentence, n``); the ordinary model is counted on all of them but the tainted ones, ``n`` times each, and on the labelled ordinary texts.
+
+    Sentences lie in chunks of bounded size. A chunk's grams meet the model once each, however often they occur, and then its sentences.
+    """
+    spark = distinct.sparkSession
+    texts = [undisguised(t) for t in reviewed_examples()] + [undisguised(t) for t, c in labelled if c != "none" for _ in range(4)]
+    known = {t[i : i + n] for t in texts for n in (TAINT_HANGUL, TAINT_LATIN) for i in range(len(t) - n + 1)}
+    path = scratch_path(spark, "distinct")
+    distinct.write.parquet(path)
+    rows = spark.read.parquet(path)
+    chunks = 1 + (rows.agg(F.sum(F.length("sentence"))).first()[0] or 0) // CHUNK_LETTERS
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("sentence"), F.lit(chunks)))
+    path = scratch_path(spark, "grams")
+    chunk_counts(rows, known).write.parquet(path)
+    counted = spark.read.parquet(path)
+    ordinary = Counter(g for t, c in labelled if c == "none" for g in grams(undisguised(t)))
+    reviewed = spark.createDataFrame(list(ordinary.items()), "gram string, use long")
+    ratios = gram_ratios(counted.select("gram", "use").unionByName(reviewed), Abusive(texts))
+
+    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        ratio = dict(zip(right["gram"], right["ratio"], strict=True))
+        return pd.DataFrame({"sentence": left["sentence"], "score": [window_score([ratio[g] for g in grams(s)]) for s in left["sentence"]]})
+
+    met = counted.select("chunk", "gram").join(ratios, "gram")
+    return rows.groupBy("chunk").cogroup(met.groupBy("chunk")).applyInPandas(score, "sentence string, score double")
 
 
 def scores(docs: DataFrame, labelled: DataFrame, key: str, text: str, threshold: float | None = None) -> DataFrame:
@@ -227,11 +253,8 @@ def scores(docs: DataFrame, labelled: DataFrame, key: str, text: str, threshold:
     ``labelled`` holds reviewed ``text, category`` rows (a fixed, small table). Without threshold, documents without sentences have a null score; repeated rows of a key are one document.
     """
     cut = sentence_table(docs, key, text)
-    distinct = cut.groupBy("sentence").agg(F.count(F.lit(1)).alias("n"))
-    frequent = [r[0] for r in distinct.orderBy(F.desc("n"), "sentence").select("sentence").limit(FREQUENT_SENTENCES).collect()]
-    frequent += [r[0] for r in distinct.orderBy(F.xxhash64("sentence"), "sentence").select("sentence").limit(SAMPLED_SENTENCES).collect()]
     reviewed = [(r["text"], r["category"]) for r in labelled.select("text", "category").limit(10_000).collect() if r["text"]]
-    scored = distinct.select("sentence", scored_column(train(reviewed, frequent), F.col("sentence")).alias("score"))
+    scored = scored_sentences(cut.groupBy("sentence").agg(F.count(F.lit(1)).alias("n")), reviewed)
     if threshold is None:
         best = cut.join(scored, "sentence").groupBy("_key").agg(F.max("score").alias("score"))
         return docs.select(F.col(key).alias("_key")).distinct().join(best, "_key", "left").select(F.col("_key").alias(key), "score")
