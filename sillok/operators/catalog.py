@@ -38,10 +38,16 @@ def violations(companies: DataFrame) -> DataFrame:
     return rows.select("id", F.explode(F.array_compact(F.array(*[F.when(bad, code) for code, bad in checks.items()]))).alias("code"))
 
 
+#: Most selectors that are broadcast.
+SELECTORS = 10_000
+
+
 def resolve(sources: DataFrame, selectors: DataFrame) -> DataFrame:
-    """``selector, id, exact``: rows whose id, name or alias equals a selector, else those that contain it. ``selectors`` (``selector``) is a short list; each is matched against all rows."""
+    """``selector, id, exact``: rows whose id, name or alias equals a selector, else those that contain it. ``selectors`` (``selector``) is a list of at most ``SELECTORS``, more are refused; each is matched against all rows."""
+    if selectors.limit(SELECTORS + 1).count() > SELECTORS:
+        raise ValueError(f"more than {SELECTORS} selectors")
     names = F.transform(F.array_compact(F.concat(F.array("id", "name_ko", "name_en"), F.coalesce("aliases", F.array().cast("array<string>")))), F.lower)
-    met = sources.select("id", names.alias("_names")).join(F.broadcast(selectors.limit(10_000)), F.exists("_names", lambda n: F.contains(n, F.lower("selector"))))
+    met = sources.select("id", names.alias("_names")).join(F.broadcast(selectors), F.exists("_names", lambda n: F.contains(n, F.lower("selector"))))
     met = met.select("selector", "id", F.array_contains("_names", F.lower("selector")).alias("exact"))
     best = met.groupBy("selector").agg(F.max("exact").alias("_best"))
     return met.join(best, "selector").filter(F.col("exact") == F.col("_best")).drop("_best")

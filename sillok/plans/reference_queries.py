@@ -222,8 +222,7 @@ UNION ALL SELECT id, 'bad_access_mode' FROM r WHERE coalesce(access_mode, '') NO
 UNION ALL SELECT id, 'bad_status' FROM r WHERE coalesce(verification.status, '') NOT IN ('verified','partial','blocked','unverified')) SELECT * FROM c""")
 def q_catalog_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "companies_2").unionByName(table(spark, sf_dir, "companies_3"))
-    kept = ("duplicate_name", "duplicate_index", "no_english_name", "bad_access_mode", "bad_status", "bad_id", "duplicate_id", "no_name", "no_method")
-    return catalog.violations(rows).filter(F.col("code").isin(*kept))
+    return catalog.violations(rows)
 
 
 @query(f"""SELECT 'discover-' || id AS task_id, CASE kind WHEN 'company' THEN 0 ELSE 1 END AS priority,
