@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Largest estimated size of a side that may be broadcast.
 BROADCAST_BYTES = 16 << 20
 
@@ -34,13 +34,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a local one is set only where the session names none."""
+    """The folder all executors share (``spark.checkpoint.dir``). Where the session names none, a local session gets a folder of its own and a cluster an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     jsc = spark.sparkContext._jsc.sc()
     if not found:
         current = jsc.getCheckpointDir()
         found = current.get() if current.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="sillok-cut-")
         spark.sparkContext.setCheckpointDir(found)
     elif not jsc.getCheckpointDir().isDefined():
@@ -54,17 +56,31 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let the driver drop the shuffle files of finished steps now; else they stay until it happens to collect its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path under the shared folder for a written table."""
     return f"{shared_dir(spark).rstrip('/')}/{label}-{os.urandom(8).hex()}"
 
 
+def stored(df: DataFrame, path: str, mode: str = "errorifexists") -> DataFrame:
+    """``df`` written once to ``path`` (``scratch_path``) and read back; the shuffle files that made it are dropped as soon as it is written."""
+    spark = df.sparkSession
+    before = spark.conf.get(_TIDY, None)
+    spark.conf.set(_TIDY, "true")
+    try:
+        df.write.mode(mode).option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_TIDY) if before is None else spark.conf.set(_TIDY, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete written tables that nothing reads any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int, row_bytes: int = 256) -> DataFrame:
     """Broadcast ``df`` if its counted rows stay under ``max_rows`` and the size bound; else leave the join to a shuffle."""
     rows = df.limit(max_rows + 1).count()
