@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sillok.session import bounded_broadcast, scratch_path
+from sillok.session import bounded_broadcast, scratch_path, stored
 
 #: Most bands a plan may use; the rows of a band follow from it.
 MAX_BANDS = 66
@@ -137,14 +137,15 @@ def _signature_batches(like: Likeness):
     return run
 
 
-def signatures(classes: DataFrame, like: Likeness) -> DataFrame:
-    """``rep, text, size, sketch, cells`` of classes ``rep, text``: distinct runs, odd sketch and band keys, in Arrow batches."""
-    return classes.select("rep", "text").mapInArrow(_signature_batches(like), "rep long, text string, size int, sketch array<long>, cells array<long>")
+def signed_classes(rows: DataFrame, like: Likeness) -> DataFrame:
+    """``rep, text, key, copies, size, sketch, cells`` of the classes of rows ``id, text``: distinct runs, odd sketch and band keys, in Arrow batches."""
+    classes = text_classes(rows).select("rep", "text", "key", "copies")
+    return classes.mapInArrow(_signature_batches(like), "rep long, text string, key binary, copies long, size int, sketch array<long>, cells array<long>")
 
 
-def cells_of(signed: DataFrame) -> DataFrame:
-    """One row per class and band: ``cell, rep``. The band is mixed into the key, so one exchange serves all bands."""
-    return signed.select(F.posexplode("cells").alias("band", "key"), "rep").select(F.xxhash64("band", "key").alias("cell"), "rep")
+def cells_of(signed: DataFrame, *more: str) -> DataFrame:
+    """One row per class and band: ``cell, rep`` and the columns ``more``. The band is mixed into the key, so one exchange serves all bands."""
+    return signed.select(F.posexplode("cells").alias("band", "key"), "rep", *more).select(F.xxhash64("band", "key").alias("cell"), "rep", *more)
 
 
 def candidates(left: DataFrame, right: DataFrame, both: bool) -> DataFrame:
@@ -154,13 +155,24 @@ def candidates(left: DataFrame, right: DataFrame, both: bool) -> DataFrame:
     return pairs.select(F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b")).distinct()
 
 
-def screened(pairs: DataFrame, signed: DataFrame, like: Likeness) -> DataFrame:
-    """The pairs whose sizes and odd sketches allow the threshold."""
-    side = lambda n: signed.select(F.col("rep").alias(n), F.col("size").alias(f"size_{n}"), F.col("sketch").alias(f"sketch_{n}"))
-    met = pairs.join(side("a"), "a").join(side("b"), "b")
+def sizes_allow(a: Column, b: Column, like: Likeness) -> Column:
+    """Whether two numbers of distinct runs leave room for the threshold: Jaccard is at most their ratio."""
+    return F.least(a, b) >= F.lit(like.threshold - 1e-9) * F.greatest(a, b)
+
+
+def _wanted(pairs: DataFrame, texts: DataFrame, *sides: str) -> DataFrame:
+    """The rows of ``texts`` that stand in ``sides`` of the pairs, filtered where they lie while the ids may be broadcast."""
+    ids = pairs.select(F.explode(F.array(*sides)).alias("rep")).distinct()
+    return texts.join(bounded_broadcast(ids, BROADCAST_IDS, 32), "rep", "left_semi")
+
+
+def screened(pairs: DataFrame, signed: DataFrame, like: Likeness, others: DataFrame | None = None) -> DataFrame:
+    """The pairs whose sizes and odd sketches allow the threshold; ``signed`` holds ``a``, and ``b`` too unless ``others`` does."""
+    side = lambda t, n: t.select(F.col("rep").alias(n), F.col("size").alias(f"size_{n}"), F.col("sketch").alias(f"sketch_{n}"))
+    left, right = (signed, signed) if others is None else (_wanted(pairs, signed, "a"), others)
+    met = pairs.join(side(left, "a"), "a").join(side(right, "b"), "b")
     odd = sum((F.bit_count(F.col("sketch_a")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
-    fits = F.least("size_a", "size_b") >= F.lit(like.threshold - 1e-9) * F.greatest("size_a", "size_b")
-    return met.filter(fits & (odd <= like.most_odd)).select("a", "b")
+    return met.filter(sizes_allow(F.col("size_a"), F.col("size_b"), like) & (odd <= like.most_odd)).select("a", "b")
 
 
 def _jaccard_batches(like: Likeness):
@@ -182,12 +194,13 @@ def _jaccard_batches(like: Likeness):
     return run
 
 
-def exact(pairs: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
-    """``a, b, jaccard`` of the pairs that reach the threshold over their whole texts (``texts``: ``rep, text``)."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    wanted = texts.select("rep", "text").join(bounded_broadcast(ids, BROADCAST_IDS, 32), "rep", "left_semi")
-    side = lambda n: wanted.select(F.col("rep").alias(n), F.col("text").alias(f"text_{n}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
+def exact(pairs: DataFrame, texts: DataFrame, like: Likeness, others: DataFrame | None = None) -> DataFrame:
+    """``a, b, jaccard`` of the pairs that reach the threshold over their whole texts (``rep, text``); ``texts`` holds ``a``, and ``b`` too unless ``others`` does."""
+    left = right = _wanted(pairs, texts.select("rep", "text"), "a", "b") if others is None else None
+    if others is not None:
+        left, right = (_wanted(pairs, t.select("rep", "text"), n) for t, n in ((texts, "a"), (others, "b")))
+    side = lambda t, n: t.select(F.col("rep").alias(n), F.col("text").alias(f"text_{n}"))
+    both = pairs.join(side(left, "a"), "a").join(side(right, "b"), "b").select("a", "b", "text_a", "text_b")
     return both.mapInArrow(_jaccard_batches(like), "a long, b long, jaccard double")
 
 
@@ -207,18 +220,10 @@ def near_duplicates(rows: DataFrame, like: Likeness) -> NearDuplicates:
     """
     spark = rows.sparkSession
     rows = rows.filter(F.col("text").isNotNull()).select(F.col("id").cast("long").alias("id"), "text")
-    classes = text_classes(rows)
-    path = scratch_path(spark, "signatures")
-    keyed = classes.select("rep", "text", "key", "copies").mapInArrow(
-        _signature_batches(like), "rep long, text string, key binary, copies long, size int, sketch array<long>, cells array<long>"
-    )
-    keyed.write.option("compression", "zstd").parquet(path)
-    signed = spark.read.parquet(path)
+    signed = stored(signed_classes(rows, like), scratch_path(spark, "signatures"))
     cells = cells_of(signed)
-    found = scratch_path(spark, "candidates")
-    screened(candidates(cells, cells, both=True), signed, like).write.parquet(found)
-    links = exact(spark.read.parquet(found), signed, like)
-    return NearDuplicates(links, signed.filter("copies > 1").select("key", "rep"))
+    met = stored(screened(candidates(cells, cells, both=True), signed, like), scratch_path(spark, "candidates"))
+    return NearDuplicates(exact(met, signed, like), signed.filter("copies > 1").select("key", "rep"))
 
 
 def members(rows: DataFrame, classes: DataFrame) -> DataFrame:

@@ -36,17 +36,19 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All runs but the last fill the index, the last one is checked against it; both go through the same operator."""
+    """Every collection run is a batch of its own, checked against the index of all runs before it."""
     job = table(spark, sf_dir, "job")
     long_enough = F.size(neardup.words(F.coalesce("description", F.lit("")))) >= LEAST_WORDS
     rows = job.select(
         F.col("ordinal").alias("id"), "batch_no", canonical_url(F.col("url")).alias("address"),
         F.when(long_enough, neardup.plain_text("title", "company", "description")).alias("text"),
     )
-    last = job.agg(F.max("batch_no")).first()[0]
     index = HistoryIndex(spark, scratch_path(spark, "history"), POSTINGS_ALIKE)
-    found = index.add_batch(rows.filter((F.col("batch_no") != last) | F.col("batch_no").isNull()))
-    found = found.unionByName(index.add_batch(rows.filter(F.col("batch_no") == last)))
+    found = None
+    for run in job.groupBy("batch_no").agg(F.min("ordinal").alias("first")).orderBy("first").collect():  # one row a run
+        cases = index.add_batch(rows.filter(F.col("batch_no").eqNullSafe(run["batch_no"])))
+        found = cases if found is None else found.unionByName(cases)
+    found = spark.createDataFrame([], "id_a long, id_b long") if found is None else found
     return found.select(F.col("id_a").alias("ordinal_a"), F.col("id_b").alias("ordinal_b"))
 
 
