@@ -9,12 +9,16 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sillok.session import bounded_broadcast
+
 #: Largest remainder the dynamic programme closes; a larger one is first lowered by whole documents, longest first.
 WINDOW = 65_536
 BUCKETS = 1_024
+#: Most targets that are broadcast; beyond it that join shuffles.
+TARGETS = 100_000
 
 
 def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
@@ -61,13 +65,16 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
 def plan(sizes: DataFrame, targets: DataFrame, total: int | None = None) -> DataFrame:
     """``source, tokens, documents, taken, repeats``: per source and exact size, how many documents are used once more than ``repeats`` times.
 
-    ``sizes``: ``source, tokens``; ``targets``: ``source, target_share, max_repeat``. ``total`` is the size of the mix, by default all tokens of the listed sources. A source's need is its share of it;
-    what ``max_repeat`` cannot reach is left out. Sources without target and documents without tokens take no part.
+    ``sizes``: ``source, tokens``; ``targets``: ``source, target_share, max_repeat``. ``total`` is the size that the shares refer to. By default it is the largest at which every target that has documents
+    is met: the least ``max_repeat`` times the source's tokens by its share. With a larger one, sources that their repeats cannot lift to their share stay below it. Sources without target and documents without tokens take no part.
     """
     counted = sizes.filter("source IS NOT NULL AND tokens > 0").groupBy("source", "tokens").agg(F.count(F.lit(1)).alias("documents"))
-    listed = counted.join(F.broadcast(targets), "source")
-    whole = listed.agg(F.sum(F.col("tokens") * F.col("documents")).alias("all_tokens")) if total is None else targets.sparkSession.range(1).select(F.lit(total).cast("long").alias("all_tokens"))
-    listed = listed.crossJoin(F.broadcast(whole))  # one row
+    listed = counted.join(bounded_broadcast(targets, TARGETS), "source")
+    if total is None:
+        have = listed.groupBy("source", "target_share", "max_repeat").agg(F.sum(F.col("tokens") * F.col("documents")).alias("have"))
+        reach = F.floor(F.col("max_repeat") * F.col("have") / F.col("target_share") + 1e-6)
+        total = have.filter("max_repeat > 0 AND target_share > 0").agg(F.min(reach)).first()[0] or 0
+    listed = listed.withColumn("all_tokens", F.lit(total).cast("long"))
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("tokens").reset_index(drop=True)
@@ -94,8 +101,6 @@ def mix(documents: DataFrame, planned: DataFrame, key: str, seed: int = 7) -> Da
     sure = docs.filter(F.col("_before") + F.col("_n") <= F.col("taken")).withColumn("_extra", F.lit(1))
     never = docs.filter(F.col("_before") >= F.col("taken")).withColumn("_extra", F.lit(0))
     edge = docs.filter((F.col("_before") < F.col("taken")) & (F.col("_before") + F.col("_n") > F.col("taken")))
-    from pyspark.sql import Window
-
     rank = F.row_number().over(Window.partitionBy("source", "tokens", "_bucket").orderBy("_order", key))
     edge = edge.withColumn("_extra", (F.col("_before") + rank <= F.col("taken")).cast("int"))
     used = sure.unionByName(never).unionByName(edge).withColumn("copies", F.col("repeats") + F.col("_extra"))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sillok.session import bounded_broadcast, scratch_path, stored
+from sillok.session import scratch_path, stored
 
 #: Most bands a plan may use; the rows of a band follow from it.
 MAX_BANDS = 66
@@ -161,9 +161,9 @@ def sizes_allow(a: Column, b: Column, like: Likeness) -> Column:
 
 
 def _wanted(pairs: DataFrame, texts: DataFrame, *sides: str) -> DataFrame:
-    """The rows of ``texts`` that stand in ``sides`` of the pairs, filtered where they lie while the ids may be broadcast."""
-    ids = pairs.select(F.explode(F.array(*sides)).alias("rep")).distinct()
-    return texts.join(bounded_broadcast(ids, BROADCAST_IDS, 32), "rep", "left_semi")
+    """The rows of ``texts`` that stand in ``sides`` of the stored pairs, filtered where they lie while the ids may be broadcast."""
+    ids = pairs.select(F.explode(F.array(*sides)).alias("rep"))
+    return texts.join(F.broadcast(ids) if pairs.count() * len(sides) <= BROADCAST_IDS else ids, "rep", "left_semi")
 
 
 def screened(pairs: DataFrame, signed: DataFrame, like: Likeness, others: DataFrame | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sillok.functions.urls import canonical_url
 from sillok.llm import abuse, encode, lookalike, mixing, names, neardup, residue
 from sillok.llm.history import HistoryIndex
-from sillok.session import scratch_path, table
+from sillok.session import scratch_path, stored, table
 
 #: What TESTDATA.md calls alike.
 POSTINGS_ALIKE = neardup.Likeness(shingle=3, threshold=0.6)
@@ -44,11 +44,9 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(long_enough, neardup.plain_text("title", "company", "description")).alias("text"),
     )
     index = HistoryIndex(spark, scratch_path(spark, "history"), POSTINGS_ALIKE)
-    found = None
     for run in job.groupBy("batch_no").agg(F.min("ordinal").alias("first")).orderBy("first").collect():  # one row a run
-        cases = index.add_batch(rows.filter(F.col("batch_no").eqNullSafe(run["batch_no"])))
-        found = cases if found is None else found.unionByName(cases)
-    found = spark.createDataFrame([], "id_a long, id_b long") if found is None else found
+        index.add_batch(rows.filter(F.col("batch_no").eqNullSafe(run["batch_no"])))
+    found = index.cases() if index.batches else spark.createDataFrame([], "id_a long, id_b long")
     return found.select(F.col("id_a").alias("ordinal_a"), F.col("id_b").alias("ordinal_b"))
 
 
@@ -77,10 +75,8 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = encode.encode(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "text")
-    path = scratch_path(spark, "sizes")
-    docs.select("doc_id", "source", F.size("ids").cast("long").alias("tokens")).write.parquet(path)
-    return spark.read.parquet(path)
+    docs = encode.token_counts(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "text")
+    return stored(docs.select("doc_id", "source", "tokens"), scratch_path(spark, "sizes"))
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
