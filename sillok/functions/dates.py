@@ -56,26 +56,31 @@ def with_strict_deadline(df: DataFrame, raw: str, name: str = "strict") -> DataF
     return out.withColumn(name, value).drop("_w", "_y", "_mo", "_d", "_t", "_day", "_h", "_mi", "_s", "_f", "_o", "_sec")
 
 
+#: What says that a listing has no fixed end, and what parts the sides of a period.
+OPEN_END = r"(?i)상시|채용 ?시|9999|2999|until"
+_SIDES = r"(?i)[~～–—]|\s-\s|\bto\b"
+#: A full date, so that the text splits at it, and the clock that may follow.
+_FULL_DATE = r"(?<![0-9])[0-9]{4}[-./][0-9]{1,2}[-./][0-9]{1,2}"
+_AFTER = r"^\s*\(?\s*([0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?)"
+
+
 def adapter_deadline(raw: Column, kst: bool = False) -> Column:
-    """The closing side of a listing date, as text: an ISO date, an aware ISO stamp, or the last full date of the last side of a period; a clock only where ``kst`` attests the zone."""
+    """The closing side of a listing date, as text: an ISO date, an aware ISO stamp, or the last full date of the last side of a period; a clock only where ``kst`` attests the zone.
+
+    Null for an open end, an abbreviated closing date, a clock of no attested zone, and impossible dates or clocks.
+    """
     text = F.trim(raw)
-    side = F.element_at(F.split(text, r"(?i)\s*(?:~|～|–|—|\s-\s|\bto\b)\s*"), -1)
-    one = r"(?<![0-9])([0-9]{4})[.\-/]([0-9]{1,2})[.\-/]([0-9]{1,2})(?:\s*\(?\s*([0-9]{1,2}):([0-9]{2})(?::([0-9]{2}))?\)?)?"
-    last = F.try_element_at(F.regexp_extract_all(side, F.lit(one), F.lit(0)), F.lit(-1))
-    part = lambda i: F.regexp_extract(last, one, i)
-    day = F.try_to_date(F.concat_ws("-", part(1), F.lpad(part(2), 2, "0"), F.lpad(part(3), 2, "0")), "yyyy-MM-dd").cast("string")
-    h, mi, s = (part(i).try_cast("int") for i in (4, 5, 6))
-    fits = (h < 24) & (mi < 60) & (F.coalesce(s, F.lit(0)) < 60)
-    clock = F.when(fits, F.format_string("T%02d:%02d:%02d+09:00", h, mi, F.coalesce(s, F.lit(0))))
-    listed = F.when(part(4) == "", day).otherwise(F.concat(day, clock) if kst else F.lit(None).cast("string"))
-    stamp = r"^([0-9]{4}-[0-9]{2}-[0-9]{2})T[0-9:.]+(?:Z|[+-][0-9]{2}:?[0-9]{2})$"
-    aware = F.when(text.rlike(stamp) & text.try_cast("timestamp").isNotNull(), F.regexp_replace(text, "Z$", "+00:00"))
-    return (
-        F.when(text.isNull() | (text == "") | text.rlike(r"(?i)상시|채용시|채용 시|9999|2999|until"), F.lit(None).cast("string"))
-        .when(text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.try_to_date(text, "yyyy-MM-dd").cast("string"))
-        .when(text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[^ ]+$"), aware)
-        .otherwise(listed)
-    )
+    side = F.element_at(F.split(text, _SIDES), -1)
+    stated = F.element_at(F.regexp_extract_all(side, F.lit(_FULL_DATE), F.lit(0)), -1)
+    numbers = F.split(F.when(F.regexp_like(side, F.lit(_FULL_DATE)), stated), "[-./]")
+    day = F.try_to_date(F.concat_ws("-", numbers[0], F.lpad(numbers[1], 2, "0"), F.lpad(numbers[2], 2, "0")), "yyyy-MM-dd")
+    clock = F.regexp_extract(F.element_at(F.split(side, _FULL_DATE), -1), _AFTER, 1)
+    moment = F.try_to_timestamp(F.concat(F.lpad(F.rpad(clock, F.length(clock) + F.when(F.length(clock) < 6, 3).otherwise(0), ":00"), 8, "0")), F.lit("HH:mm:ss"))
+    listed = F.when(clock == "", day.cast("string")).otherwise(F.concat(day.cast("string"), F.date_format(moment, "'T'HH:mm:ss'+09:00'")) if kst else F.lit(None).cast("string"))
+    iso = text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}(?:T\S+)?$")
+    stamp = F.when(text.rlike(r"T.*(?:Z|[+-][0-9]{2}:?[0-9]{2})$") & text.try_cast("timestamp").isNotNull(), F.regexp_replace(text, "Z$", "+00:00"))
+    exact = F.when(F.length(text) == 10, F.try_to_date(text, "yyyy-MM-dd").cast("string")).otherwise(stamp)
+    return F.when((text != "") & ~text.rlike(OPEN_END), F.when(iso, exact).otherwise(listed))
 
 
 def deadline_state(deadline: Column, raw: Column, now_seconds: int) -> Column:

@@ -25,15 +25,20 @@ def collapse_ws(text: Column) -> Column:
     return F.coalesce(F.trim(F.regexp_replace(text, _SPACE + "+", " ")), F.lit(""))
 
 
+def folded(text: str) -> str:
+    """Composed, case-folded, white space collapsed."""
+    return " ".join(unicodedata.normalize("NFC", text).casefold().split())
+
+
 def fold(text: Column) -> Column:
-    """Composed, case-folded, white space collapsed. ASCII stays in the JVM, the rest goes through Arrow; null stays null."""
+    """``folded`` over a column. ASCII stays in the JVM, the rest goes through Arrow; null stays null."""
 
     @F.pandas_udf("string")
-    def folded(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFC", t).casefold().split()))
+    def whole(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else folded(t))
 
     ascii_only = text.rlike(r"^[\x00-\x7f]*$")
-    return F.when(ascii_only, F.lower(collapse_ws(text))).otherwise(folded(F.when(~ascii_only, text)))
+    return F.when(ascii_only, F.lower(collapse_ws(text))).otherwise(whole(F.when(~ascii_only, text)))
 
 
 def bounded_pattern(needle: str) -> str:
@@ -45,7 +50,7 @@ def bounded_pattern(needle: str) -> str:
 
 def contains_term(haystack: Column, needle: str) -> Column:
     """Whether folded text holds a term; Korean edges match inside words, ASCII edges only at word boundaries. Blank terms match nothing."""
-    term = " ".join(unicodedata.normalize("NFC", needle).casefold().split())
+    term = folded(needle)
     return F.coalesce(haystack.rlike(bounded_pattern(term)), F.lit(False)) if term else F.lit(False)
 
 

@@ -9,6 +9,8 @@ from sillok.functions.dates import adapter_deadline
 from sillok.functions.text import collapse_ws, first_line
 
 UNKNOWN = "Unknown employer"
+#: Fixed value: the deadline text of a row that stays open until someone is hired.
+UNTIL_HIRED = "채용시까지"
 
 
 def _card(company: Column, deadline: Column) -> dict[str, Column]:
@@ -25,13 +27,14 @@ def naver_rows(rows: DataFrame, origin: str = "https://recruit.navercorp.com") -
 
 
 def cj_rows(rows: DataFrame, origin: str = "https://recruit.cj.net") -> DataFrame:
-    """Postings of list rows; ``gubun`` 1 and 2 choose the detail route, others are left out; an open-ended row has a rolling deadline text."""
+    """Postings of list rows; ``gubun`` 1 and 2 choose the detail route, others are left out; an open-ended row says so in its deadline text."""
     ident, title = collapse_ws(F.col("zz_jo_num")), collapse_ws(F.col("zz_title"))
     route = F.when(F.col("gubun") == "1", F.concat(F.lit("/recruit/ko/recruit/recruit/detail.fo?zz_jo_num="), ident)).when(
         F.col("gubun") == "2", F.concat(F.lit("/recruit/ko/recruit/recruit/bestDetail.fo?zz_jo_num="), ident, F.lit("&direct=N"))
     )
-    clock = F.when(F.col("zz_end_hh").rlike(r"^[0-9]{1,2}$") & F.col("zz_end_mi").rlike(r"^[0-9]{2}$"), F.concat(F.lit(" "), F.lpad("zz_end_hh", 2, "0"), F.lit(":"), F.col("zz_end_mi"))).otherwise("")
-    raw = F.when(F.col("zz_till_hire") == "Y", "채용시마감").otherwise(F.concat(collapse_ws(F.col("zz_end_dt_str")), clock))
+    hour, minute = (F.trim(F.coalesce(c, F.lit(""))) for c in ("zz_end_hh", "zz_end_mi"))
+    clock = F.when(hour.rlike(r"^[0-9]{1,2}$") & minute.rlike(r"^[0-9]{2}$"), F.concat(F.lit(" "), hour, F.lit(":"), minute)).otherwise("")
+    raw = F.when(F.col("zz_till_hire") == "Y", UNTIL_HIRED).otherwise(F.concat(collapse_ws(F.col("zz_end_dt_str")), clock))
     fields = {"url": F.concat(F.lit(origin), route), "title": title, "deadline_raw": raw, "location": collapse_ws(F.col("location_cd_nm"))}
     good = ident.rlike(r"^(?:[0-9]+|J[0-9]+)$") & (title != "") & route.isNotNull()
     out = rows.filter(good).withColumns(fields | _card(collapse_ws(F.col("compnm")), adapter_deadline(raw, kst=True)))

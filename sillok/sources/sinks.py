@@ -7,10 +7,10 @@ import os
 import tempfile
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from sillok.operators.merge import upsert
+from sillok.operators.merge import upsert, winners
 
 POINTER = "current.json"
 
@@ -31,30 +31,37 @@ def read_current(spark: SparkSession, root: str) -> DataFrame | None:
 
 
 def write_version(df: DataFrame, root: str) -> str:
-    """Write a new version, check that it reads back with as many rows, then swap the pointer by a rename."""
+    """Write a new version, check that it reads back with as many rows as were written, then put its name into the pointer by one overwriting rename, so that readers always meet a table."""
     spark = df.sparkSession
     name = f"v{time.time_ns()}"
-    df.write.mode("errorifexists").parquet(f"{root}/{name}")
+    written = Observation()
+    df.observe(written, F.count(F.lit(1)).alias("rows")).write.mode("errorifexists").parquet(f"{root}/{name}")
+    found = spark.read.parquet(f"{root}/{name}").count()
+    if found != written.get["rows"]:
+        raise OSError(f"{root}/{name} reads back with {found} rows of {written.get['rows']}")
     fs, target, jvm = _fs(spark, f"{root}/{POINTER}")
     fresh = jvm.org.apache.hadoop.fs.Path(f"{root}/.{POINTER}.{name}")
     out = fs.create(fresh, False)
     out.write(bytearray(json.dumps({"version": name}).encode()))
     out.close()
-    if fs.exists(target):
-        fs.delete(target, False)
-    if not fs.rename(fresh, target):
-        raise OSError(f"the pointer of {root} could not be replaced")
+    kind = jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(kind, 1)
+    options[0] = kind.OVERWRITE
+    place = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    place.rename(fs.makeQualified(fresh), fs.makeQualified(target), options)
     return name
 
 
 def save_observations(fresh: DataFrame, root: str, ordinal: str = "ordinal") -> DataFrame:
-    """Merge fresh postings into the stored ones; sources that failed delete nothing. One writer at a time is assumed."""
+    """Merge fresh postings into the stored observations and return the shown records; sources that failed delete nothing. One writer at a time is assumed.
+
+    What is stored are the distinct observations (``merge.upsert``), so their number grows with what was really seen and a repeated save writes nothing.
+    """
     spark = fresh.sparkSession
-    old = read_current(spark, root)
-    shown = [c for c in fresh.columns]
-    merged = upsert(fresh, old.select(*[c for c in shown if c in old.columns]) if old is not None else fresh.limit(0), ordinal)
-    write_version(merged.select(*shown, "observations", "sources"), root)
-    return read_current(spark, root)
+    changed = upsert(fresh, read_current(spark, root), ordinal)
+    if changed is not None:
+        write_version(changed, root)
+    return winners(read_current(spark, root), ordinal)
 
 
 def same_rows(a: DataFrame, b: DataFrame) -> bool:

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from sillok.cli import main
 from sillok.functions import network
-from sillok.operators import merge
 from sillok.sources import profiles, sinks
 from tests.test_operators import POSTING
 
@@ -13,9 +12,10 @@ from tests.test_operators import POSTING
 @pytest.mark.parametrize(
     ("url", "want"),
     [
-        ("https://E.com/a b", "blocked"), ("ftp://e.com/", "unsupported"), ("https://u@e.com/", "blocked"), ("https://e.com:8443/", "blocked"), ("https://e.com:443/x", "ok"), ("http://e.com:080/", "blocked"), ("https://localhost/", "blocked"), ("https://a.internal/", "blocked"),
-        ("https://10.0.0.1/", "blocked"), ("https://8.8.8.8/", "ok"), ("https://[::1]/", "blocked"), ("https://[2606:4700::1111]/", "ok"), ("https://[2002::1]/", "blocked"), ("https://e.com/?api-key=1", "needs_credentials"), ("https://e.com/?q=token", "ok"), ("https://e.com/%5c", "blocked"),
-        (None, "blocked"), ("", "blocked"), ("https://1.2.3/", "blocked"), ("https://e/", "blocked"), ("https://회사.com/채용", "ok"),
+        ("HTTP://Amt.example:80?a", "ok"), ("https://амт.example/путь?q=ж", "ok"), ("https://9.9.9.9/", "ok"), ("https://[2620:fe::9]:443/", "ok"), ("https://a.example/?Note=session", "ok"), ("https://a.example./", "ok"),
+        ("gopher://a.example/", "unsupported"), ("javascript:1", "unsupported"), ("https://x:y@a.example/", "blocked"), ("https://a.example:444/", "blocked"), ("https://a.example:/", "blocked"), ("https://a.example:0443/", "blocked"), ("https://printer.lan/", "blocked"), ("https://x.home.arpa/", "blocked"),
+        ("https://172.16.9.1/", "blocked"), ("https://[fe80::1]/", "blocked"), ("https://[2001:db8::1]/", "blocked"), ("https://3232235777/", "blocked"), ("https://a.5/", "blocked"), ("https://a_b.example/", "blocked"), ("https://wort/", "blocked"), ("https://a.example/%7f", "blocked"), ("https://a.example/\u200b", "blocked"),
+        ("https://a.example/?X-Amz_Signature=1", "needs_credentials"), ("https://a.example/?a=1&Pass%77ord", "needs_credentials"), (7, "blocked"), (None, "blocked"), ("", "blocked"), ("//a.example", "blocked"), ("https://" + "a" * 64 + ".example/", "blocked"), ("https://a.example/" + "x" * 9000, "blocked"),
     ],
 )
 def test_public_address(url, want):
@@ -32,14 +32,23 @@ def test_columns(spark):
 def test_versions(spark, tmp_path):
     root = str(tmp_path / "t")
     assert sinks.read_current(spark, root) is None
-    rows = [(1, "https://e.com/a", "s1", "", ("listing_card",), [], "t1", ""), (2, "https://e.com/b", "s1", "x", ("full_text",), [], "t1", "")]
+    rows = [(1, "https://e.com/a", "s1", "", ("listing_card",), [], "t1", ""), (2, "https://e.com/b", "s1", "x", ("full_text",), [], "t1", ""), (3, "https://e.com/a?utm_x=1", "s1", "", ("listing_card",), ["w"], "t1", "")]
     fresh = spark.createDataFrame(rows, POSTING)
-    first = sinks.save_observations(fresh, root).drop("observations", "sources")
-    again = sinks.save_observations(fresh, root).drop("observations", "sources")
-    assert sinks.same_rows(first, again) and again.count() == 2
+    first = sinks.save_observations(fresh, root)
+    held = sinks.read_current(spark, root)
+    assert {r["url"]: r["observations"] for r in first.collect()} == {"https://e.com/a": 1, "https://e.com/b": 1}
+    for _ in range(3):  # on all columns: nothing moves, nothing grows
+        again = sinks.save_observations(fresh, root)
+        assert sinks.same_rows(first, again) and sinks.same_rows(held, sinks.read_current(spark, root))
     richer = spark.createDataFrame([(1, "https://e.com/a", "s2", "text", ("full_text",), [], "t2", "")], POSTING)
-    assert {r["url"]: r["description"] for r in sinks.save_observations(richer, root).collect()}["https://e.com/a"] == "text"
-    assert merge.winners(sinks.read_current(spark, root).drop("observations", "sources")).count() == 2
+    shown = {r["url"]: r for r in sinks.save_observations(richer, root).collect()}
+    assert shown["https://e.com/a"]["description"] == "text" and shown["https://e.com/a"]["observations"] == 2 and not shown["https://e.com/a"]["switched"]
+    card = spark.createDataFrame([(5, "https://e.com/a", "s1", "", ("listing_card",), [], "t3", "")], POSTING)
+    for _ in range(2):
+        shown = {r["url"]: r for r in sinks.save_observations(card, root).collect()}
+        assert shown["https://e.com/a"]["description"] == "text" and shown["https://e.com/a"]["switched"] and shown["https://e.com/a"]["observations"] == 3
+    assert sorted(r["ordinal"] for r in sinks.read_current(spark, root).collect()) == [1, 1, 2, 5]
+    assert len(list((tmp_path / "t").glob("v*"))) == 3
 
 
 def test_profile_and_cli(spark, tmp_path, capsys):
