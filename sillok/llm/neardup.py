@@ -57,7 +57,8 @@ class Likeness:
 
 def words(text: Column) -> Column:
     """Words between spaces, tabs and newlines, otherwise as stored."""
-    return F.filter(F.split(text, "[ \t\n]+"), lambda w: w != "")
+    spaced = F.replace(F.replace(text, F.lit("\t"), F.lit(" ")), F.lit("\n"), F.lit(" "))  # a split at one character needs no pattern
+    return F.filter(F.split(spaced, " "), lambda w: w != "")
 
 
 def plain_text(*columns: str) -> Column:
@@ -65,12 +66,6 @@ def plain_text(*columns: str) -> Column:
     return F.array_join(words(F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])), " ")
 
 
-def text_classes(rows: DataFrame) -> DataFrame:
-    """``key, rep, copies, text`` of rows ``id, text``: equal texts once, under their smallest id. Copies are merged before the shuffle."""
-    keyed = rows.select("id", "text", F.unhex(F.md5("text")).alias("key"))
-    return keyed.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("text").alias("text"))
-
-
 def _fingerprints(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """64-bit fingerprints of the word runs of each text: values, owner of each, and distinct ones sorted by owner and value."""
     split = pc.split_pattern(pc.cast(texts, pa.large_string()), " ")
@@ -137,10 +132,23 @@ def _signature_batches(like: Likeness):
     return run
 
 
-def signed_classes(rows: DataFrame, like: Likeness) -> DataFrame:
-    """``rep, text, key, copies, size, sketch, cells`` of the classes of rows ``id, text``: distinct runs, odd sketch and band keys, in Arrow batches."""
-    classes = text_classes(rows).select("rep", "text", "key", "copies")
-    return classes.mapInArrow(_signature_batches(like), "rep long, text string, key binary, copies long, size int, sketch array<long>, cells array<long>")
+def signatures(rows: DataFrame, like: Likeness) -> DataFrame:
+    """``rep, key, text, size, sketch, cells`` of rows ``id, text`` (``rep`` the id): digest, distinct runs, odd sketch and band keys, in Arrow batches where the rows lie, without a shuffle."""
+    keyed = rows.select(F.col("id").alias("rep"), F.unhex(F.md5("text")).alias("key"), "text")
+    return keyed.mapInArrow(_signature_batches(like), "rep long, key binary, text string, size int, sketch array<long>, cells array<long>")
+
+
+def copies_of(signed: DataFrame) -> DataFrame:
+    """``id, rep`` of the rows whose text another row has too, ``rep`` the smallest of them. Only digests move, and a hot text is one entry a task."""
+    keys = signed.select(F.col("rep").alias("id"), "key")
+    shared = keys.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return keys.join(shared, "key").select("id", "rep")
+
+
+def representatives(signed: DataFrame, copies: DataFrame) -> DataFrame:
+    """The signed rows without the later copies of a text (``copies``: stored)."""
+    later = copies.filter("id <> rep").select(F.col("id").alias("rep"))
+    return signed.join(F.broadcast(later) if copies.count() <= BROADCAST_IDS else later, "rep", "left_anti")
 
 
 def cells_of(signed: DataFrame, *more: str) -> DataFrame:
@@ -206,29 +214,32 @@ def exact(pairs: DataFrame, texts: DataFrame, like: Likeness, others: DataFrame
 
 @dataclass(frozen=True)
 class NearDuplicates:
-    """``links``: ``a, b, jaccard`` between class representatives. ``classes``: ``key, rep`` of the classes with copies."""
+    """``links``: ``a, b, jaccard`` between class representatives. ``copies``: ``id, rep`` of the rows in classes of several."""
 
     links: DataFrame
-    classes: DataFrame
+    copies: DataFrame
 
 
 def near_duplicates(rows: DataFrame, like: Likeness) -> NearDuplicates:
-    """All pairs of different texts at or above the threshold among ``rows`` (``id`` long, ``text`` as made by ``plain_text``).
+    """All pairs of different texts at or above the threshold among ``rows`` (``id`` long, unique, ``text`` as made by ``plain_text``).
 
-    Links hold between representatives (smallest id) of equal texts; ``members`` gives the copies. Null texts take no part, an empty table gives no links,
+    Links hold between representatives (smallest id) of equal texts; ``copies`` gives the members. Null texts take no part, an empty table gives no links,
     texts shorter than a run count as one run, ties do not arise (every pair is kept). Extra columns are ignored.
     """
     spark = rows.sparkSession
     rows = rows.filter(F.col("text").isNotNull()).select(F.col("id").cast("long").alias("id"), "text")
-    signed = stored(signed_classes(rows, like), scratch_path(spark, "signatures"))
-    cells = cells_of(signed)
+    signed = stored(signatures(rows, like), scratch_path(spark, "signatures"))
+    copies = stored(copies_of(signed), scratch_path(spark, "copies"))
+    cells = cells_of(representatives(signed, copies))
     met = stored(screened(candidates(cells, cells, both=True), signed, like), scratch_path(spark, "candidates"))
-    return NearDuplicates(exact(met, signed, like), signed.filter("copies > 1").select("key", "rep"))
+    return NearDuplicates(exact(met, signed, like), copies)
 
 
-def members(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """``id, rep`` of every row of a class with copies."""
-    return rows.select("id", F.unhex(F.md5("text")).alias("key")).join(classes, "key").select("id", "rep")
+def classes(rows: DataFrame, found: NearDuplicates) -> DataFrame:
+    """``id, rep, links``: each row that has a text, the representative of its class (equal texts) and the number of other classes this is linked to."""
+    ends = found.links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
+    named = rows.filter(F.col("text").isNotNull()).select("id").join(found.copies, "id", "left").select("id", F.coalesce("rep", "id").alias("rep"))
+    return named.join(ends, "rep", "left").select("id", "rep", F.coalesce("links", F.lit(0).cast("long")).alias("links"))
 
 
 def expand_pairs(links: DataFrame, copies: DataFrame) -> DataFrame:

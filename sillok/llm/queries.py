@@ -22,12 +22,18 @@ def posting_texts(job: DataFrame) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = posting_texts(table(spark, sf_dir, "job"))
-    found = neardup.near_duplicates(rows, POSTINGS_ALIKE)
-    pairs = neardup.expand_pairs(found.links, neardup.members(rows, found.classes))
+    found = neardup.near_duplicates(posting_texts(table(spark, sf_dir, "job")), POSTINGS_ALIKE)
+    pairs = neardup.expand_pairs(found.links, found.copies)
     return pairs.select(F.col("id_a").alias("ordinal_a"), F.col("id_b").alias("ordinal_b"))
 
 
+def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a posting text: its class of equal texts and the number of classes that are alike."""
+    rows = posting_texts(table(spark, sf_dir, "job"))
+    found = neardup.classes(rows, neardup.near_duplicates(rows, POSTINGS_ALIKE))
+    return found.select(F.col("id").alias("ordinal"), F.col("rep").alias("class_ordinal"), "links")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     companies = table(spark, sf_dir, "companies_3").select(F.lit("companies_3").alias("src"), F.col("id").alias("rec_key"), F.array("verification.title").alias("texts"))
     live = table(spark, sf_dir, "integration_live").select(F.lit("integration_live").alias("src"), F.col("acq_no").cast("string").alias("rec_key"), F.col("diagnostics").alias("texts"))
@@ -104,7 +110,7 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.coalesce("bad", F.lit(0))).alias("abusive")).withColumn("rate", F.col("abusive") / F.col("documents"))
 
 
-QUERIES = {"p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates, "p6_found": p6_found, "p7_ids": p7_ids, "p8_shares": p8_shares, "p8_documents": p8_documents, "p3_found": p3_found, "p5_found": p5_found, "p2_found": p2_found, "p4_found": p4_found}
+QUERIES = {"p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates, "p6_found": p6_found, "p7_ids": p7_ids, "p8_shares": p8_shares, "p8_documents": p8_documents, "p3_found": p3_found, "p5_found": p5_found, "p2_found": p2_found, "p2_classes": p2_classes, "p4_found": p4_found}
 #: Every pair by brute force over the shared runs of three words.
 ORACLES: dict[str, str] = {
     "p2_found": """
