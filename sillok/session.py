@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -62,15 +62,23 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def stored(df: DataFrame, path: str, mode: str = "errorifexists") -> DataFrame:
-    """``df`` written once to ``path`` (``scratch_path``) and read back; the shuffle files that made it are dropped as soon as it is written."""
+    """``df`` written once to ``path`` (``scratch_path``) and read back; the shuffle files that made it are dropped as soon as it is written. ``rows_of`` tells its number of rows, counted as they were written."""
     spark = df.sparkSession
-    before = spark.conf.get(_TIDY, None)
+    before, seen = spark.conf.get(_TIDY, None), Observation()
     spark.conf.set(_TIDY, "true")
     try:
-        df.write.mode(mode).option("compression", "zstd").parquet(path)
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode(mode).option("compression", "zstd").parquet(path)
     finally:
         spark.conf.unset(_TIDY) if before is None else spark.conf.set(_TIDY, before)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._sillok_rows = seen
+    return back
+
+
+def rows_of(df: DataFrame) -> int:
+    """The number of rows of a table; of one that ``stored`` gave, without another job."""
+    seen = getattr(df, "_sillok_rows", None)
+    return df.count() if seen is None else seen.get["rows"]
 
 
 def discard(spark: SparkSession, *paths: str) -> None:
