@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sillok.session import scratch_path, stored
+from sillok.session import rows_of, scratch_path, stored
 
 #: Most bands a plan may use; the rows of a band follow from it.
 MAX_BANDS = 66
@@ -148,7 +148,7 @@ def copies_of(signed: DataFrame) -> DataFrame:
 def representatives(signed: DataFrame, copies: DataFrame) -> DataFrame:
     """The signed rows without the later copies of a text (``copies``: stored)."""
     later = copies.filter("id <> rep").select(F.col("id").alias("rep"))
-    return signed.join(F.broadcast(later) if copies.count() <= BROADCAST_IDS else later, "rep", "left_anti")
+    return signed.join(F.broadcast(later) if rows_of(copies) <= BROADCAST_IDS else later, "rep", "left_anti")
 
 
 def cells_of(signed: DataFrame, *more: str) -> DataFrame:
@@ -168,19 +168,18 @@ def sizes_allow(a: Column, b: Column, like: Likeness) -> Column:
     return F.least(a, b) >= F.lit(like.threshold - 1e-9) * F.greatest(a, b)
 
 
-def _wanted(pairs: DataFrame, texts: DataFrame, *sides: str) -> DataFrame:
+def wanted(pairs: DataFrame, texts: DataFrame, *sides: str) -> DataFrame:
     """The rows of ``texts`` that stand in ``sides`` of the stored pairs, filtered where they lie while the ids may be broadcast."""
     ids = pairs.select(F.explode(F.array(*sides)).alias("rep"))
-    return texts.join(F.broadcast(ids) if pairs.count() * len(sides) <= BROADCAST_IDS else ids, "rep", "left_semi")
+    return texts.join(F.broadcast(ids) if rows_of(pairs) * len(sides) <= BROADCAST_IDS else ids, "rep", "left_semi")
 
 
-def screened(pairs: DataFrame, signed: DataFrame, like: Likeness, others: DataFrame | None = None) -> DataFrame:
-    """The pairs whose sizes and odd sketches allow the threshold; ``signed`` holds ``a``, and ``b`` too unless ``others`` does."""
-    side = lambda t, n: t.select(F.col("rep").alias(n), F.col("size").alias(f"size_{n}"), F.col("sketch").alias(f"sketch_{n}"))
-    left, right = (signed, signed) if others is None else (_wanted(pairs, signed, "a"), others)
+def screened(pairs: DataFrame, left: DataFrame, right: DataFrame, like: Likeness, *keep: str) -> DataFrame:
+    """The pairs (``a`` in ``left``, ``b`` in ``right``) whose sizes and odd sketches allow the threshold, with the columns ``keep`` of both sides."""
+    side = lambda t, n: t.select(F.col("rep").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in ("size", "sketch", *keep)])
     met = pairs.join(side(left, "a"), "a").join(side(right, "b"), "b")
     odd = sum((F.bit_count(F.col("sketch_a")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
-    return met.filter(sizes_allow(F.col("size_a"), F.col("size_b"), like) & (odd <= like.most_odd)).select("a", "b")
+    return met.filter(sizes_allow(F.col("size_a"), F.col("size_b"), like) & (odd <= like.most_odd)).select("a", "b", *[f"{c}_{n}" for c in keep for n in ("a", "b")])
 
 
 def _jaccard_batches(like: Likeness):
@@ -202,14 +201,16 @@ def _jaccard_batches(like: Likeness):
     return run
 
 
-def exact(pairs: DataFrame, texts: DataFrame, like: Likeness, others: DataFrame | None = None) -> DataFrame:
-    """``a, b, jaccard`` of the pairs that reach the threshold over their whole texts (``rep, text``); ``texts`` holds ``a``, and ``b`` too unless ``others`` does."""
-    left = right = _wanted(pairs, texts.select("rep", "text"), "a", "b") if others is None else None
-    if others is not None:
-        left, right = (_wanted(pairs, t.select("rep", "text"), n) for t, n in ((texts, "a"), (others, "b")))
-    side = lambda t, n: t.select(F.col("rep").alias(n), F.col("text").alias(f"text_{n}"))
-    both = pairs.join(side(left, "a"), "a").join(side(right, "b"), "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(_jaccard_batches(like), "a long, b long, jaccard double")
+def ranked(pairs: DataFrame, like: Likeness) -> DataFrame:
+    """``a, b, jaccard`` of the pairs ``a, b, text_a, text_b`` that reach the threshold over their whole texts."""
+    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(_jaccard_batches(like), "a long, b long, jaccard double")
+
+
+def exact(pairs: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
+    """``a, b, jaccard`` of the stored pairs that reach the threshold over their whole texts (``rep, text``)."""
+    held = wanted(pairs, texts.select("rep", "text"), "a", "b")
+    side = lambda n: held.select(F.col("rep").alias(n), F.col("text").alias(f"text_{n}"))
+    return ranked(pairs.join(side("a"), "a").join(side("b"), "b"), like)
 
 
 @dataclass(frozen=True)
@@ -231,7 +232,7 @@ def near_duplicates(rows: DataFrame, like: Likeness) -> NearDuplicates:
     signed = stored(signatures(rows, like), scratch_path(spark, "signatures"))
     copies = stored(copies_of(signed), scratch_path(spark, "copies"))
     cells = cells_of(representatives(signed, copies))
-    met = stored(screened(candidates(cells, cells, both=True), signed, like), scratch_path(spark, "candidates"))
+    met = stored(screened(candidates(cells, cells, both=True), signed, signed, like), scratch_path(spark, "candidates"))
     return NearDuplicates(exact(met, signed, like), copies)
 
 
