@@ -156,11 +156,18 @@ def cells_of(signed: DataFrame, *more: str) -> DataFrame:
     return signed.select(F.posexplode("cells").alias("band", "key"), "rep", *more).select(F.xxhash64("band", "key").alias("cell"), "rep", *more)
 
 
-def candidates(left: DataFrame, right: DataFrame, both: bool) -> DataFrame:
-    """Distinct pairs ``a < b`` that share a cell; ``both``: left and right are the same cells. A hot cell is split by the adaptive skew join."""
-    pairs = left.alias("l").join(right.alias("r"), F.col("l.cell") == F.col("r.cell"))
-    pairs = pairs.filter(F.col("l.rep") < F.col("r.rep")) if both else pairs.filter(F.col("l.rep") != F.col("r.rep"))
-    return pairs.select(F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b")).distinct()
+def candidates(cells: DataFrame) -> DataFrame:
+    """Distinct pairs ``a < b`` of the classes that share a cell.
+
+    The cells meet in one exchange. Nearly all hold one class or two, and these need no join: the smallest and the largest of a cell are its pair. Only cells of three classes and more are joined with
+    themselves, over the same exchange; a hot one is split by the adaptive skew join.
+    """
+    met = cells.repartition("cell")
+    counted = met.groupBy("cell").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.count(F.lit(1)).alias("n"))
+    crowded = met.join(counted.filter("n > 2").select("cell").hint("shuffle_hash"), "cell", "left_semi")
+    joined = crowded.alias("l").join(crowded.alias("r"), (F.col("l.cell") == F.col("r.cell")) & (F.col("l.rep") < F.col("r.rep")))
+    pairs = counted.filter("n = 2 AND a <> b").select("a", "b").unionByName(joined.select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b")))
+    return pairs.distinct()
 
 
 def sizes_allow(a: Column, b: Column, like: Likeness) -> Column:
@@ -232,7 +239,7 @@ def near_duplicates(rows: DataFrame, like: Likeness) -> NearDuplicates:
     signed = stored(signatures(rows, like), scratch_path(spark, "signatures"))
     copies = stored(copies_of(signed), scratch_path(spark, "copies"))
     cells = cells_of(representatives(signed, copies))
-    met = stored(screened(candidates(cells, cells, both=True), signed, signed, like), scratch_path(spark, "candidates"))
+    met = stored(screened(candidates(cells), signed, signed, like), scratch_path(spark, "candidates"))
     return NearDuplicates(exact(met, signed, like), copies)
 
 
