@@ -56,6 +56,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def give_back(spark: SparkSession) -> None:
+    """Let the driver's JVM give back the memory of finished plans; a loop over many batches else keeps it until the heap is full. Nothing else depends on it."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path under the shared folder for a written table."""
     return f"{shared_dir(spark).rstrip('/')}/{label}-{os.urandom(8).hex()}"
