@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sillok.functions.text import quoted
+from sillok.functions.text import fold, quoted
 from sillok.functions.urls import adapter_for, host, public_shape
 
 #: Closed domains of the catalogue.
@@ -22,7 +22,7 @@ def all_sources(companies: DataFrame, portals: DataFrame) -> DataFrame:
 
 def violations(companies: DataFrame) -> DataFrame:
     """``id, code`` of every rule a catalogue row breaks; duplicates are counted by key, not compared in pairs."""
-    rows = companies.withColumn("_name", F.lower(F.trim("name_ko")))
+    rows = companies.withColumn("_name", fold(F.col("name_ko")))
     for key in ("id", "_name", "selection_index"):
         counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias(f"_n_{key}"))
         rows = rows.join(counts, key, "left")  # a null key is no duplicate

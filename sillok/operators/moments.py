@@ -10,12 +10,15 @@ from __future__ import annotations
 
 import re
 import zoneinfo
+from collections.abc import Callable
 from datetime import date, datetime, timedelta, timezone
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sillok.session import bounded_broadcast
+
 #: Zone abbreviations and their own offsets in minutes.
 ABBREVIATIONS = {
     "UTC": 0, "GMT": 0, "Z": 0, "WET": 0, "BST": 60, "WEST": 60, "CET": 60, "CEST": 120, "EET": 120, "EEST": 180,
@@ -78,11 +81,11 @@ def _stamp(moment: datetime) -> str:
     return moment.astimezone(timezone.utc).replace(tzinfo=None).isoformat(timespec="microseconds") + "Z"
 
 
-def read_moment(raw: str | None, hour: str | None = None, minute: str | None = None, zone: str | None = None, default_zone: str = "UTC") -> str | None:
+def read_moment(raw: str | None, hour: str | None = None, minute: str | None = None, zone: str | None = None, default_zone: str | None = "UTC") -> str | None:
     """``YYYY-MM-DDThh:mm:ss.ffffffZ`` of a stated moment, ``YYYY-MM-DD`` of a stated day, else null.
 
     ``hour`` and ``minute`` are a clock kept apart and hold where ``raw`` has none; ``zone`` is a zone kept apart and comes before one in ``raw``. A clock without zone is
-    read in ``default_zone``. Fractions beyond microseconds are cut off. Null where no full date stands at the end of the text, a date or
+    read in ``default_zone``; without one (null) its local time comes out as ``YYYY-MM-DDThh:mm:ss.ffffff``. Fractions beyond microseconds are cut off. Null where no full date stands at the end of the text, a date or
     clock is impossible, the zone skips the local time, the end is open, or the year is 2100 or later; also for null, empty and very long texts without a date.
     """
     if not raw:
@@ -137,6 +140,8 @@ def read_moment(raw: str | None, hour: str | None = None, minute: str | None = N
     if place is None:
         if stated:
             return None
+        if default_zone is None:
+            return wall.isoformat(timespec="microseconds")
         place = zoneinfo.ZoneInfo(default_zone)
     moment = wall.replace(tzinfo=place)
     if isinstance(place, zoneinfo.ZoneInfo) and moment.astimezone(timezone.utc).astimezone(place).replace(tzinfo=None) != wall:
@@ -155,24 +160,24 @@ def normal_moments(raw: Column, hour: Column, minute: Column, zone: Column, defa
 
 
 def estimate_zone_history(
-    df: DataFrame, group: str, wall: str, ingested: str, zones: tuple[str, ...], *, lead_hours: int = 24, change_cost: float = 3.0, bucket_days: int = 7
+    df: DataFrame, group: str, wall: str, ingested: str, zones: tuple[str, ...], *, earliest_hours: int = -24, latest_hours: int = 0, change_cost: float = 3.0, bucket_days: int = 7
 ) -> DataFrame:
     """The zone history of each group with the fewest violations: ``group, from_day, zone, violations, readings``.
 
-    ``wall`` (timestamp_ntz) are local readings without zone, ``ingested`` (timestamp_ntz, UTC) when each was taken. A reading violates
-    a zone if its UTC moment lies after its ingestion or more than ``lead_hours`` before it, so both sides bind the offset. Counts are taken
-    per group, bucket of ``bucket_days`` and zone (pre-aggregated, so a hot group is one short table), then a Viterbi pass over the
-    buckets chooses the history with the least violations plus ``change_cost`` a change; ties go to the zone listed first.
-    Rows with a null in any of the three columns take no part; an empty table gives no rows.
+    ``wall`` (timestamp_ntz) are local readings without zone, ``ingested`` (timestamp_ntz, UTC) when each was taken in. A reading violates a zone if its UTC moment lies before
+    ``earliest_hours`` or after ``latest_hours`` from its ingestion, so both sides bind the offset. Counts are taken per group, bucket of ``bucket_days`` and zone (pre-aggregated, so a hot group is one short
+    table), then a Viterbi pass over the buckets chooses the history with the least violations plus ``change_cost`` a change. The zone listed first is what is held before: another one at the start
+    is a change too, and ties stay with the earlier listed. Rows with a null in any of the three columns take no part; an empty table gives no rows.
     """
     if group in ("from_day", "zone", "violations", "readings"):
         raise ValueError(f"the group column needs another name than {group}")
     counted = df.select(group, F.col(wall).alias("_w"), F.col(ingested).alias("_i")).na.drop()
     counted = counted.withColumn("_b", (F.datediff(F.col("_i").cast("date"), F.lit("1970-01-01").cast("date")) / bucket_days).cast("int"))
     sums = [F.count(F.lit(1)).alias("_n")]
+    hours = lambda n: F.expr(f"interval {int(n)} hours")
     for k, zone in enumerate(zones):
         utc = F.convert_timezone(F.lit(zone), F.lit("UTC"), F.col("_w"))
-        bad = (utc > F.col("_i")) | (utc < F.col("_i") - F.expr(f"interval {int(lead_hours)} hours"))
+        bad = (utc < F.col("_i") + hours(earliest_hours)) | (utc > F.col("_i") + hours(latest_hours))
         sums.append(F.sum(bad.cast("long")).alias(f"_v{k}"))
     counted = counted.groupBy(group, "_b").agg(*sums)
     names = list(zones)
@@ -180,7 +185,7 @@ def estimate_zone_history(
     def history(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_b")
         cost = pdf[[f"_v{k}" for k in range(len(names))]].to_numpy(float)
-        best, back = cost[0] + 1e-9 * pd.RangeIndex(len(names)).to_numpy(), []
+        best, back = cost[0] + [k * 1e-9 + change_cost * (k > 0) for k in range(len(names))], []
         for row in cost[1:]:
             stay, move = best, best.min() + change_cost
             back.append([k if stay[k] <= move else int(best.argmin()) for k in range(len(names))])
@@ -197,3 +202,20 @@ def estimate_zone_history(
 
     kind = dict(df.dtypes)[group]
     return counted.groupBy(group).applyInPandas(history, f"`{group}` {kind}, from_day date, zone string, violations long, readings long")
+
+
+def zone_at(histories: DataFrame, group: str, *, most_groups: int = 100_000) -> Callable[[DataFrame, str], DataFrame]:
+    """A step that adds ``_zone``, the estimated zone of a row's group on the day of column ``day`` (the first one before the history begins; null for unknown groups).
+
+    A group's changes are few (each cost ``change_cost`` violations), so they travel as one array; groups are broadcast up to ``most_groups``, more meet in a shuffle.
+    """
+    held = histories.groupBy(F.col(group).alias("_group")).agg(F.array_sort(F.collect_list(F.struct("from_day", "zone"))).alias("_runs"))
+    held = bounded_broadcast(held, most_groups, 160)
+
+    def add(df: DataFrame, day: str) -> DataFrame:
+        met = df.join(held, F.col(group) == F.col("_group"), "left")
+        begun = F.filter("_runs", lambda r: r["from_day"] <= F.col(day))
+        zone = F.coalesce(F.try_element_at(begun, F.lit(-1)), F.get("_runs", 0))["zone"]
+        return met.withColumn("_zone", zone).drop("_group", "_runs")
+
+    return add

@@ -23,8 +23,10 @@ def packet(rows: DataFrame, *fields: str) -> DataFrame:
 
 
 def write_report(rows: DataFrame, path: str, limit: int = 10_000) -> int:
-    """Write a page of at most ``limit`` rows (a report for reading) to a new file, all or nothing; an existing file is never replaced."""
-    shown = rows.select(*[html_escape(F.col(c).cast("string")).alias(c) for c in rows.columns]).limit(limit).collect()
+    """Write a page of all rows to a new file, all or nothing; an existing file is never replaced. A report is for reading, so more than ``limit`` rows are refused, not cut."""
+    shown = rows.select(*[html_escape(F.col(c).cast("string")).alias(c) for c in rows.columns]).limit(limit + 1).collect()
+    if len(shown) > limit:
+        raise ValueError(f"a report of more than {limit} rows; choose the rows first")
     head = "".join(f"<th>{c}</th>" for c in rows.columns)
     body = "\n".join("<tr>" + "".join(f"<td>{v or ''}</td>" for v in r) + "</tr>" for r in shown)
     csp = "<meta http-equiv=\"Content-Security-Policy\" content=\"default-src 'none'; style-src 'unsafe-inline'\">"

@@ -32,9 +32,9 @@ def query(sql: str | None = None):
 _TRACKED = "('" + "','".join(urls.TRACKERS) + "')"
 #: Canonical address in SQL, for the http(s) shapes without user info that the table holds.
 CANONICAL = f"""
-SELECT ordinal, id AS stored, source_id, description, evidence,
+SELECT * EXCLUDE (id, url, scheme, host, path, query, kept), id AS stored,
   scheme || '://' || lower(regexp_replace(host, ':(80|443)$', '')) || CASE WHEN path = '' THEN '/' ELSE path END
-  || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS url
+  || CASE WHEN coalesce(array_to_string(kept, '&'), '') <> '' THEN '?' || array_to_string(kept, '&') ELSE '' END AS url
 FROM (
   SELECT *, CASE WHEN query = '' THEN [] ELSE list_filter(string_split(query, '&'), lambda p:
       NOT (starts_with(lower(url_decode(string_split(p, '=')[1])), 'utm_') OR lower(url_decode(string_split(p, '=')[1])) IN {_TRACKED})) END AS kept
@@ -63,10 +63,27 @@ def q_merge_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.winners(rows).select("url", "ordinal", "first_ordinal", "observations", "sources", "switched")
 
 
-@query(f"SELECT url, source_id, evidence.fetched_at AS fetched_at, min(ordinal) AS first_ordinal FROM ({CANONICAL}) GROUP BY ALL")
+@query(f"SELECT url, source_id, evidence.kind AS kind, evidence.source_url AS source_url, evidence.fetched_at AS fetched_at, evidence.completeness AS completeness, collected_at, min(ordinal) AS first_ordinal FROM ({CANONICAL}) GROUP BY url, source_id, evidence, collected_at")
 def q_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "job").select("ordinal", "url", "source_id", F.col("evidence.fetched_at").alias("evidence"), F.lit(None).cast("string").alias("collected_at"))
-    return merge.provenance(rows).select("url", "source_id", F.col("evidence").alias("fetched_at"), "first_ordinal")
+    rows = table(spark, sf_dir, "job").select("ordinal", "url", "source_id", "evidence", "collected_at")
+    return merge.provenance(rows).select("url", "source_id", "evidence.*", "collected_at", "first_ordinal")
+
+
+@query(f"""SELECT url, min(ordinal) AS ordinal, any_value(source_id) AS source_id, any_value(collected_at) AS collected_at FROM ({CANONICAL})
+GROUP BY url, source_id, title, company, description, location, employment_type, experience, collected_at, deadline, deadline_raw, evidence, ext, batch_no""")
+def q_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct observations of every address."""
+    return merge.observations(table(spark, sf_dir, "job")).select("url", "ordinal", "source_id", "collected_at")
+
+
+@query(f"""WITH c AS ({CANONICAL}), u AS (SELECT url, count(*) AS observations, arg_min(ordinal, ordinal) AS o FROM c GROUP BY url),
+s AS (SELECT url, list(source_id ORDER BY o) AS source_ids FROM (SELECT url, source_id, min(ordinal) AS o FROM c WHERE source_id IS NOT NULL GROUP BY ALL) GROUP BY url) SELECT url, array_to_string(source_ids, ',') AS source_ids FROM u LEFT JOIN s USING (url)""")
+def q_source_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sources of every address in the order they were met."""
+    rows = table(spark, sf_dir, "job").select("ordinal", "url", "source_id")
+    met = merge.observed(rows).groupBy("url", "source_id").agg(F.min("ordinal").alias("o"))
+    listed = F.transform(F.array_sort(F.collect_list(F.when(F.col("source_id").isNotNull(), F.struct("o", "source_id")))), lambda x: x["source_id"])
+    return met.groupBy("url").agg(listed.alias("l")).select("url", F.nullif(F.array_join("l", ","), F.lit("")).alias("source_ids"))
 
 
 @query(f"""SELECT ordinal, CASE WHEN coalesce(stored, '') = '' THEN 'missing' ELSE 'differs' END AS state FROM ({CANONICAL}) WHERE coalesce(stored, '') = '' OR stored <> sha256(url)""")
@@ -114,6 +131,20 @@ def q_rank_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.numbered(rows, F.desc("score"), "ordinal").select("ordinal", F.col("rank").cast("long").alias("rank"))
 
 
+EXCLUDING = PROFILE | {"excluded_keywords": ["인턴", "contract"], "experience_level": "경력"}
+_HAY = "lower(nfc_normalize(concat_ws(chr(10), coalesce(title,''), coalesce(company,''), coalesce(description,''), coalesce(location,''), coalesce(employment_type,''), coalesce(experience,''))))"
+
+
+@query(f"""WITH r AS (SELECT ordinal, {_sql_score()} + CASE WHEN contains(lower(coalesce(experience, '')), '경력') THEN 2 ELSE 0 END AS score,
+  contains({_HAY}, '인턴') OR regexp_matches({_HAY}, '(^|[^a-z0-9_])contract([^a-z0-9_]|$)') AS excluded,
+  CASE WHEN deadline IS NOT NULL AND epoch(try_cast(deadline AS DATE)) + 86400 - 32400 <= {NOW} THEN true ELSE false END AS expired FROM job)
+SELECT ordinal, score, expired, NOT (expired OR excluded) AS eligible, row_number() OVER (ORDER BY (expired OR excluded), score DESC, ordinal) AS rank FROM r""")
+def q_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every posting ranked: neither expired nor excluded first, by score."""
+    rows = scoring.ranked(table(spark, sf_dir, "job"), EXCLUDING, "ordinal", NOW)
+    return rows.select("ordinal", "score", "expired", "eligible", F.col("rank").cast("long").alias("rank"))
+
+
 @query("""SELECT doc_id, length(t) AS codepoints, length(t) + length(regexp_replace(t, '[^\\x{10000}-\\x{10ffff}]', '', 'g')) AS utf16, strlen(t) AS utf8,
 length(replace(t, chr(10), '')) AS no_newlines FROM (SELECT doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t FROM documents)""")
 def q_text_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,31 +158,51 @@ def q_cp949_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.count_text(F.col("text"), "cp949-bytes").alias("bytes"))
 
 
-@query("""SELECT doc_id, count, count > 600 AS over, count < 450.0 AS under, regexp_matches(t, '(?i)\\b(TBD|TODO)\\b|\\[확인 필요[^\\]]*\\]|○○') AS draft
-FROM (SELECT doc_id, t, length(t) AS count FROM (SELECT doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t FROM documents WHERE source = 'applicant_answer' AND text IS NOT NULL AND text <> ''))""")
+_SPACES = "\\s\\x{00a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{0085}\\x0b\\x1c-\\x1f"
+
+
+@query(f"""SELECT doc_id, length(t) AS count, coalesce(length(t) > 600, false) AS over, coalesce(length(t) < 450.0, false) AS under, coalesce(regexp_matches(t, '(?i)\\b(TBD|TODO)\\b|\\[확인 필요[^\\]]*\\]|○○'), false) AS draft,
+NOT coalesce(regexp_matches(t, '[^{_SPACES}]'), false) AS blank FROM (SELECT doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t FROM documents)""")
 def q_check_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").filter("source = 'applicant_answer' AND text <> ''").withColumn("c", text.check_answer(F.col("text"), 600))
+    rows = table(spark, sf_dir, "documents").withColumn("c", text.check_answer(F.col("text"), 600))
     has = lambda a, v: F.array_contains(F.col(a), v)
-    return rows.select("doc_id", F.col("c.count").alias("count"), has("c.errors", "over_limit").alias("over"), has("c.warnings", "under_min_fill").alias("under"), has("c.warnings", "draft_marker").alias("draft"))
+    return rows.select("doc_id", F.col("c.count").alias("count"), has("c.errors", "over_limit").alias("over"), has("c.warnings", "under_min_fill").alias("under"), has("c.warnings", "draft_marker").alias("draft"), has("c.errors", "blank").alias("blank"))
 
 
 @query()
+def q_cp949_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.count_text(F.col("text"), "cp949-bytes").alias("bytes"))
+
+
+#: The strict reading in SQL: three date shapes, a clock with or without offset or in Korean; Seoul where none is stated.
+STRICT = r"""
+SELECT ordinal, raw, day, CASE WHEN clock = '' THEN NULL WHEN h < 24 AND mi < 60 AND s < 60 AND shift IS NOT NULL THEN epoch(day)::BIGINT + h * 3600 + mi * 60 + s - shift END AS seconds, clock, h, mi, st, frac, off,
+  day IS NOT NULL AND (clock = '' OR (h < 24 AND mi < 60 AND s < 60 AND shift IS NOT NULL)) AS good
+FROM (SELECT *, try_cast(ht AS INT) AS h, try_cast(mt AS INT) AS mi, CASE WHEN st = '' THEN 0 ELSE try_cast(st AS INT) END AS s,
+    CASE WHEN off = '' THEN 32400 WHEN off = 'Z' THEN 0 WHEN try_cast(substring(off, 2, 2) AS INT) < 24 AND try_cast(substring(off, 5, 2) AS INT) < 60 THEN (CASE WHEN off[1] = '-' THEN -1 ELSE 1 END) * (try_cast(substring(off, 2, 2) AS INT) * 3600 + try_cast(substring(off, 5, 2) AS INT) * 60) END AS shift
+  FROM (SELECT *, try_cast(y || '-' || lpad(m, 2, '0') || '-' || lpad(d, 2, '0') AS DATE) AS day,
+      CASE WHEN korean THEN regexp_extract(clock, K, 1) ELSE regexp_extract(clock, C, 1) END AS ht, CASE WHEN korean THEN regexp_extract(clock, K, 2) ELSE regexp_extract(clock, C, 2) END AS mt,
+      CASE WHEN korean THEN regexp_extract(clock, K, 3) ELSE regexp_extract(clock, C, 3) END AS st, CASE WHEN korean THEN regexp_extract(clock, K, 4) ELSE regexp_extract(clock, C, 4) END AS frac, CASE WHEN korean THEN '' ELSE regexp_extract(clock, C, 5) END AS off
+    FROM (SELECT *, regexp_matches(clock, K) AS korean FROM (SELECT *, trim(regexp_extract(t, p, 4)) AS clock, regexp_extract(t, p, 1) AS y, regexp_extract(t, p, 2) AS m, regexp_extract(t, p, 3) AS d,
+        '^([0-9]{1,2}):([0-9]{2})(?::([0-9]{2})(?:\.([0-9]+))?)?(Z|[+-][0-9]{2}:[0-9]{2})?$' AS C, '^([0-9]{1,2})시\s*([0-9]{1,2})분(?:\s*([0-9]{1,2})(?:\.([0-9]+))?초)?$' AS K
+      FROM (SELECT *, CASE WHEN regexp_matches(t, '^[0-9]{4}-') THEN '^([0-9]{4})-([0-9]{2})-([0-9]{2})(?:[T ]([0-9]{2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]+)?)?(?:Z|[+-][0-9:.]+)?))?$'
+          WHEN regexp_matches(t, '^[0-9]{4}년') THEN '^([0-9]{4})년\s*([0-9]{1,2})월\s*([0-9]{1,2})일(?:\s+(.+))?$' ELSE '^([0-9]{4})\.([0-9]{1,2})\.([0-9]{1,2})(?:\s+(.+))?$' END AS p
+        FROM (SELECT ordinal, deadline_raw AS raw, trim(deadline_raw) AS t FROM job))))))
+"""
+
+
+@query(f"""SELECT ordinal, CASE WHEN good AND clock = '' THEN day::VARCHAR WHEN good THEN day::VARCHAR || printf('T%02d:%02d', h, mi) || CASE WHEN st <> '' THEN printf(':%02d', try_cast(st AS INT)) ELSE '' END
+  || CASE WHEN frac <> '' THEN '.' || frac ELSE '' END || CASE off WHEN 'Z' THEN '+00:00' WHEN '' THEN '+09:00' ELSE off END END AS text, CASE WHEN good THEN day END AS day, CASE WHEN good THEN seconds END AS seconds,
+CASE WHEN good AND clock <> '' THEN rtrim(frac, '0') END AS fraction FROM ({STRICT})""")
 def q_strict_deadline(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = dates.with_strict_deadline(table(spark, sf_dir, "job").select("ordinal", "deadline_raw"), "deadline_raw")
     return rows.select("ordinal", "strict.text", "strict.day", "strict.seconds", "strict.fraction")
 
 
-@query("""SELECT ordinal, CASE WHEN d IS NOT NULL THEN CASE WHEN epoch(d) + 86400 - 32400 > 1775001600 THEN 'open' ELSE 'expired' END
-WHEN regexp_replace(raw, '\\s+', '', 'g') IN ('채용시마감','상시','상시채용','상시모집') THEN 'rolling' ELSE 'unknown' END AS state
-FROM (SELECT ordinal, deadline_raw AS raw, try_cast(regexp_extract(deadline_raw, '^([0-9]{4}-[0-9]{2}-[0-9]{2})$', 1) AS DATE) AS d FROM job WHERE deadline_raw IS NULL OR NOT regexp_matches(deadline_raw, '[0-9]{4}[년.]|[0-9]:[0-9]'))""")
+@query(f"""SELECT ordinal, CASE WHEN good AND seconds IS NOT NULL THEN CASE WHEN seconds >= {NOW} THEN 'open' ELSE 'expired' END WHEN good THEN CASE WHEN epoch(day) + 86400 - 32400 > {NOW} THEN 'open' ELSE 'expired' END
+WHEN regexp_replace(raw, '\\s+', '', 'g') IN ('채용시마감','상시','상시채용','상시모집') THEN 'rolling' ELSE 'unknown' END AS state FROM ({STRICT})""")
 def q_deadline_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "job").select("ordinal", "deadline_raw").filter("deadline_raw IS NULL OR NOT deadline_raw RLIKE '[0-9]{4}[년.]|[0-9]:[0-9]'")
-    return dates.with_strict_deadline(rows, "deadline_raw").select("ordinal", dates.deadline_state(F.col("strict"), F.col("deadline_raw"), NOW).alias("state"))
-
-
-@query()
-def q_deadline_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The state of every posting; the SQL of ``q_deadline_state`` says only those without clock and without Korean or dotted date."""
+    """The state of every posting."""
     rows = table(spark, sf_dir, "job").select("ordinal", "deadline_raw")
     return dates.with_strict_deadline(rows, "deadline_raw").select("ordinal", dates.deadline_state(F.col("strict"), F.col("deadline_raw"), NOW).alias("state"))
 
@@ -159,16 +210,35 @@ def q_deadline_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 _COLLAPSE = "trim(regexp_replace(coalesce({0},''), '[\\s\\x{{00a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+', ' ', 'g'))"
 
 
+#: The raw deadline of a list row, and the deadline of a raw text with attested zone, in SQL.
+_CJ_RAW = f"""CASE WHEN zz_till_hire = 'Y' THEN '채용시까지' ELSE {_COLLAPSE.format('zz_end_dt_str')} || CASE WHEN regexp_full_match(trim(coalesce(zz_end_hh, '')), '[0-9]{{1,2}}') AND regexp_full_match(trim(coalesce(zz_end_mi, '')), '[0-9]{{2}}') THEN ' ' || trim(zz_end_hh) || ':' || trim(zz_end_mi) ELSE '' END END"""
+
+
+def _listed(raw: str) -> str:
+    side = f"regexp_extract({raw}, '(?is)^(?:.*(?:[~～–—]|\\s-\\s|\\bto\\b))?(.*)$', 1)"
+    date = "[0-9]{4}[-./][0-9]{1,2}[-./][0-9]{1,2}"
+    last = f"regexp_extract({side}, '(?s)^(?:.*[^0-9])?({date})', 1)"
+    tail = f"regexp_extract({side}, '(?s)^(?:.*[^0-9])?{date}(.*)$', 1)"
+    clock = f"regexp_extract({tail}, '^\\s*\\(?\\s*([0-9]{{1,2}}:[0-9]{{2}}(?::[0-9]{{2}})?)', 1)"
+    part = lambda i: f"lpad(regexp_split_to_array({last}, '[-./]')[{i}], 2, '0')"
+    day = f"try_cast(lpad({part(1)}, 4, '0') || '-' || {part(2)} || '-' || {part(3)} AS DATE)"
+    day = day.replace(f"lpad({part(1)}, 4, '0')", f"regexp_split_to_array({last}, '[-./]')[1]")
+    moment = f"try_cast({day}::VARCHAR || ' ' || lpad(CASE WHEN length({clock}) < 6 THEN {clock} || ':00' ELSE {clock} END, 8, '0') AS TIMESTAMP)"
+    listed = f"CASE WHEN {clock} = '' THEN {day}::VARCHAR ELSE strftime({moment}, '%Y-%m-%dT%H:%M:%S') || '+09:00' END"
+    iso = f"CASE WHEN length({raw}) = 10 THEN try_cast({raw} AS DATE)::VARCHAR WHEN regexp_matches({raw}, 'T.*(Z|[+-][0-9]{{2}}:?[0-9]{{2}})$') AND try_cast({raw} AS TIMESTAMPTZ) IS NOT NULL THEN regexp_replace({raw}, 'Z$', '+00:00') END"
+    return f"CASE WHEN {raw} <> '' AND NOT regexp_matches({raw}, '(?i)상시|채용 ?시|9999|2999|until') THEN CASE WHEN regexp_matches({raw}, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}(T\\S+)?$') THEN {iso} ELSE {listed} END END"
+
+
 @query(f"""SELECT row_no, 'https://recruit.navercorp.com/rcrt/view.do?annoId=' || annoId AS url, {_COLLAPSE.format('annoSubject')} AS title,
-CASE WHEN {_COLLAPSE.format('sysCompanyCdNm')} = '' THEN 'Unknown employer' ELSE {_COLLAPSE.format('sysCompanyCdNm')} END AS company FROM collect_naver_page WHERE annoId IS NOT NULL AND {_COLLAPSE.format('annoSubject')} <> ''""")
+CASE WHEN {_COLLAPSE.format('sysCompanyCdNm')} = '' THEN 'Unknown employer' ELSE {_COLLAPSE.format('sysCompanyCdNm')} END AS company, {_COLLAPSE.format('endYmdTime')} AS deadline_raw, {_listed(_COLLAPSE.format('endYmdTime'))} AS deadline FROM collect_naver_page WHERE annoId IS NOT NULL AND {_COLLAPSE.format('annoSubject')} <> ''""")
 def q_naver_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return listings.naver_rows(table(spark, sf_dir, "collect_naver_page")).select("row_no", "url", "title", "company")
+    return listings.naver_rows(table(spark, sf_dir, "collect_naver_page")).select("row_no", "url", "title", "company", "deadline_raw", "deadline")
 
 
 @query(f"""SELECT row_no, 'https://recruit.cj.net/recruit/ko/recruit/recruit/' || CASE gubun WHEN '1' THEN 'detail.fo?zz_jo_num=' || {_COLLAPSE.format('zz_jo_num')} ELSE 'bestDetail.fo?zz_jo_num=' || {_COLLAPSE.format('zz_jo_num')} || '&direct=N' END AS url,
-{_COLLAPSE.format('zz_title')} AS title FROM collect_cj_page WHERE gubun IN ('1','2') AND regexp_full_match({_COLLAPSE.format('zz_jo_num')}, '[0-9]+|J[0-9]+') AND {_COLLAPSE.format('zz_title')} <> ''""")
+{_COLLAPSE.format('zz_title')} AS title, {_CJ_RAW} AS deadline_raw, {_listed(_CJ_RAW)} AS deadline FROM collect_cj_page WHERE gubun IN ('1','2') AND regexp_full_match({_COLLAPSE.format('zz_jo_num')}, '[0-9]+|J[0-9]+') AND {_COLLAPSE.format('zz_title')} <> ''""")
 def q_cj_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return listings.cj_rows(table(spark, sf_dir, "collect_cj_page")).select("row_no", "url", "title")
+    return listings.cj_rows(table(spark, sf_dir, "collect_cj_page")).select("row_no", "url", "title", "deadline_raw", "deadline")
 
 
 @query("SELECT curdate, count(*) AS rows, CASE WHEN min(tot_cnt) = max(tot_cnt) THEN min(tot_cnt) END AS total, coalesce(min(tot_cnt) <> max(tot_cnt), false) AS inconsistent FROM collect_cj_page GROUP BY curdate")

@@ -34,7 +34,7 @@ def state(raw):
 
 def test_every_posting_has_its_state(spark, tmp_path):
     spark.createDataFrame(list(enumerate(RAW)), "ordinal long, deadline_raw string").write.parquet(str(tmp_path / "job.parquet"))
-    got = {r["ordinal"]: r["state"] for r in entry.queries()["q_deadline_states"](spark, str(tmp_path)).collect()}
+    got = {r["ordinal"]: r["state"] for r in entry.queries()["q_deadline_state"](spark, str(tmp_path)).collect()}
     assert got == {i: state(raw) for i, raw in enumerate(RAW)}
     by_raw = dict(zip(RAW, (got[i] for i in range(len(RAW))), strict=True))
     assert by_raw["2026-04-01T09:00"] == by_raw["2026-03-31T19:00:00-05:00"] == "open" and by_raw["2026-04-01T08:59:59"] == by_raw["2026-03-31"] == "expired"

@@ -3,7 +3,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from sillok.operators.moments import estimate_zone_history, normal_moments, read_moment
+from sillok.operators.moments import estimate_zone_history, normal_moments, read_moment, zone_at
 
 SEOUL = "Asia/Seoul"
 
@@ -77,7 +77,19 @@ def test_zone_history(spark):
         rows.append(("s", local - timedelta(minutes=20), moment))
     rows += [("t", None, datetime(2026, 1, 1)), (None, datetime(2026, 1, 1), datetime(2026, 1, 1))]
     df = spark.createDataFrame(rows, "site string, wall timestamp_ntz, ingested timestamp_ntz")
-    got = estimate_zone_history(df, "site", "wall", "ingested", (SEOUL, "America/New_York", "Europe/Berlin"), lead_hours=3).orderBy("from_day").collect()
+    got = estimate_zone_history(df, "site", "wall", "ingested", (SEOUL, "America/New_York", "Europe/Berlin"), earliest_hours=-3).orderBy("from_day").collect()
     assert [(r["site"], r["zone"]) for r in got] == [("s", "America/New_York"), ("s", "Europe/Berlin")]
     assert sum(r["readings"] for r in got) == 60
     assert estimate_zone_history(df.limit(0), "site", "wall", "ingested", (SEOUL,)).count() == 0
+
+
+def test_zones_by_site(spark):
+    """Closing times that only fit another zone move their site there; one misfit moves nothing."""
+    at = datetime(2026, 3, 2, 12)
+    rows = [("far", at + timedelta(hours=h), at + timedelta(days=d)) for d in range(8) for h in (24 * d + 2,)] + [("home", at - timedelta(hours=1), at), *[("home", at + timedelta(days=9), at)] * 5]
+    df = spark.createDataFrame(rows, "site string, wall timestamp_ntz, ingested timestamp_ntz")
+    found = estimate_zone_history(df, "site", "wall", "ingested", (SEOUL, "UTC"), earliest_hours=0, latest_hours=9000)
+    assert {(r["site"], r["zone"], r["violations"]) for r in found.collect()} == {("far", "UTC", 0), ("home", SEOUL, 1)}
+    days = spark.createDataFrame([("far", at.date()), ("none", at.date()), (None, None)], "site string, day date")
+    assert [r["_zone"] for r in zone_at(found, "site")(days, "day").orderBy("site").collect()] == [None, "UTC", None]
+    assert read_moment("2026-02-05 10:00", default_zone=None) == "2026-02-05T10:00:00.000000" and read_moment("2026-02-05 10:00 KST", default_zone=None) == "2026-02-05T01:00:00.000000Z"
