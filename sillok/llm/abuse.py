@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sillok.llm.lookalike import plain_form
-from sillok.session import bounded_broadcast, scratch_path
+from sillok.session import bounded_broadcast, scratch_path, stored
 
 #: Letters of a context plus one, discount, window of the score, and the score from which a sentence is abusive.
 ORDER, DISCOUNT, WINDOW, THRESHOLD = 6, 0.75, 12, 0.05
@@ -27,6 +27,8 @@ ORDER, DISCOUNT, WINDOW, THRESHOLD = 6, 0.75, 12, 0.05
 CHUNK_LETTERS = 200_000
 #: Runs of letters known from abusive examples, and their share of a window from which a sentence does not train the ordinary model.
 TAINT_HANGUL, TAINT_LATIN, TAINTED = 3, 7, 0.5
+#: Most reviewed examples; more are refused.
+LABELS = 10_000
 #: Most abusive sentences that are broadcast back to the documents.
 BROADCAST_SENTENCES = 50_000
 
@@ -89,9 +91,17 @@ def undisguised(sentence: str) -> str:
     return _LETTER.sub("", text)
 
 
-def sentences(text: str | None) -> list[str]:
-    """Distinct undisguised sentences of a text in order; null, empty and letterless texts have none, nor do three Latin letters or fewer say anything."""
-    return list(dict.fromkeys(s for s in map(undisguised, _CUT.split(text or "")) if len(s) > (3 if s.isascii() else 0)))
+def sentences(text: str | None, met: dict[str, str] | None = None) -> list[str]:
+    """Distinct undisguised sentences of a text in order; null, empty and letterless texts have none. ``met`` keeps sentences that were undisguised before."""
+    met = {} if met is None else met
+    out: dict[str, None] = {}
+    for raw in _CUT.split(text or ""):
+        plain = met.get(raw)
+        if plain is None:
+            plain = met[raw] = undisguised(raw)
+        if plain:
+            out[plain] = None
+    return list(out)
 
 
 def reviewed_examples() -> list[str]:
@@ -170,11 +180,10 @@ def sentence_table(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     @F.pandas_udf("array<string>")
     def cut_up(texts: pd.Series) -> pd.Series:
-        return texts.map(sentences)
+        met: dict[str, str] = {}  # of one batch of documents
+        return texts.map(lambda t: sentences(t, met))
 
-    path = scratch_path(docs.sparkSession, "sentences")
-    docs.select(F.col(key).alias("_key"), F.explode(cut_up(F.col(text))).alias("sentence")).write.parquet(path)
-    return docs.sparkSession.read.parquet(path)
+    return stored(docs.select(F.col(key).alias("_key"), F.explode(cut_up(F.col(text))).alias("sentence")), scratch_path(docs.sparkSession, "sentences"))
 
 
 def chunk_counts(sentence: DataFrame, known: set[str]) -> DataFrame:
@@ -227,14 +236,10 @@ def scored_sentences(distinct: DataFrame, labelled: list[tuple[str, str]]) -> Da
     spark = distinct.sparkSession
     texts = [undisguised(t) for t in reviewed_examples()] + [undisguised(t) for t, c in labelled if c != "none" for _ in range(4)]
     known = {t[i : i + n] for t in texts for n in (TAINT_HANGUL, TAINT_LATIN) for i in range(len(t) - n + 1)}
-    path = scratch_path(spark, "distinct")
-    distinct.write.parquet(path)
-    rows = spark.read.parquet(path)
+    rows = stored(distinct, scratch_path(spark, "distinct"))
     chunks = 1 + (rows.agg(F.sum(F.length("sentence"))).first()[0] or 0) // CHUNK_LETTERS
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("sentence"), F.lit(chunks)))
-    path = scratch_path(spark, "grams")
-    chunk_counts(rows, known).write.parquet(path)
-    counted = spark.read.parquet(path)
+    counted = stored(chunk_counts(rows, known), scratch_path(spark, "grams"))
     ordinary = Counter(g for t, c in labelled if c == "none" for g in grams(undisguised(t)))
     reviewed = spark.createDataFrame(list(ordinary.items()), "gram string, use long")
     ratios = gram_ratios(counted.select("gram", "use").unionByName(reviewed), Abusive(texts))
@@ -253,12 +258,13 @@ def scores(docs: DataFrame, labelled: DataFrame, key: str, text: str, threshold:
     ``labelled`` holds reviewed ``text, category`` rows (a fixed, small table). Without threshold, documents without sentences have a null score; repeated rows of a key are one document.
     """
     cut = sentence_table(docs, key, text)
-    reviewed = [(r["text"], r["category"]) for r in labelled.select("text", "category").limit(10_000).collect() if r["text"]]
+    held = labelled.select("text", "category").limit(LABELS + 1).collect()
+    if len(held) > LABELS:
+        raise ValueError(f"more than {LABELS} reviewed examples")
+    reviewed = [(r["text"], r["category"]) for r in held if r["text"]]
     scored = scored_sentences(cut.groupBy("sentence").agg(F.count(F.lit(1)).alias("n")), reviewed)
     if threshold is None:
         best = cut.join(scored, "sentence").groupBy("_key").agg(F.max("score").alias("score"))
         return docs.select(F.col(key).alias("_key")).distinct().join(best, "_key", "left").select(F.col("_key").alias(key), "score")
-    path = scratch_path(docs.sparkSession, "abusive")
-    scored.filter(F.col("score") >= threshold).write.parquet(path)
-    bad = bounded_broadcast(docs.sparkSession.read.parquet(path), BROADCAST_SENTENCES, 300)
+    bad = bounded_broadcast(stored(scored.filter(F.col("score") >= threshold), scratch_path(docs.sparkSession, "abusive")), BROADCAST_SENTENCES, 300)
     return cut.join(bad, "sentence").groupBy(F.col("_key").alias(key)).agg(F.max("score").alias("score"))

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sillok.llm.lookalike import plain_form
+from sillok.session import scratch_path, stored
 
 #: Most catalogue rows a model is built from on the driver.
 CATALOGUE_ROWS = 20_000
@@ -343,7 +344,7 @@ def link_names(model: NameModel, names: DataFrame, name: str, uses: str = "uses"
     def read(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([exact_reading(model, t) for t in texts], columns=["form", "entity"])
 
-    first = names.withColumn("_read", read("_name"))
+    first = stored(names.withColumn("_read", read("_name")), scratch_path(names.sparkSession, "readings"))
     # one row per canonical form, at most the pairs of known parts
     counted = first.filter("_read.form IS NOT NULL").groupBy("_read.form").agg(F.sum("_uses").alias("n")).collect()
     model.prior = {r["form"]: r["n"] for r in counted}

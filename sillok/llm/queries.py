@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from sillok.functions.urls import canonical_url
 from sillok.llm import abuse, encode, lookalike, mixing, names, neardup, residue
 from sillok.llm.history import HistoryIndex
-from sillok.session import scratch_path, stored, table
+from sillok.plans.reference_queries import CANONICAL
+from sillok.session import give_back, scratch_path, stored, table
 
 #: What TESTDATA.md calls alike.
 POSTINGS_ALIKE = neardup.Likeness(shingle=3, threshold=0.6)
@@ -52,6 +53,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = HistoryIndex(spark, scratch_path(spark, "history"), POSTINGS_ALIKE)
     for run in job.groupBy("batch_no").agg(F.min("ordinal").alias("first")).orderBy("first").collect():  # one row a run
         index.add_batch(rows.filter(F.col("batch_no").eqNullSafe(run["batch_no"])))
+        give_back(spark)
     found = index.cases() if index.batches else spark.createDataFrame([], "id_a long, id_b long")
     return found.select(F.col("id_a").alias("ordinal_a"), F.col("id_b").alias("ordinal_b"))
 
@@ -112,12 +114,27 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates, "p6_found": p6_found, "p7_ids": p7_ids, "p8_shares": p8_shares, "p8_documents": p8_documents, "p3_found": p3_found, "p5_found": p5_found, "p2_found": p2_found, "p2_classes": p2_classes, "p4_found": p4_found}
 #: Every pair by brute force over the shared runs of three words.
-ORACLES: dict[str, str] = {
-    "p2_found": """
-WITH w AS (SELECT ordinal, list_filter(regexp_split_to_array(coalesce(title, '') || ' ' || coalesce(company, '') || ' ' || coalesce(description, ''), '[ \\t\\n]+'), lambda x: x <> '') AS w
+_PAIRS = """
+w AS (SELECT ordinal, list_filter(regexp_split_to_array(coalesce(title, '') || ' ' || coalesce(company, '') || ' ' || coalesce(description, ''), '[ \\t\\n]+'), lambda x: x <> '') AS w
   FROM job WHERE len(list_filter(regexp_split_to_array(coalesce(description, ''), '[ \\t\\n]+'), lambda x: x <> '')) >= 40),
 s AS (SELECT DISTINCT ordinal, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT ordinal, w, unnest(generate_series(1, len(w) - 2)) AS i FROM w)),
 n AS (SELECT ordinal, count(*) AS n FROM s GROUP BY ordinal),
-c AS (SELECT a.ordinal AS ordinal_a, b.ordinal AS ordinal_b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.ordinal < b.ordinal GROUP BY ALL)
-SELECT ordinal_a, ordinal_b FROM c JOIN n a ON a.ordinal = ordinal_a JOIN n b ON b.ordinal = ordinal_b WHERE k >= 0.6 * (a.n + b.n - k)""",
+c AS (SELECT a.ordinal AS ordinal_a, b.ordinal AS ordinal_b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.ordinal < b.ordinal GROUP BY ALL),
+pairs AS (SELECT ordinal_a, ordinal_b FROM c JOIN n a ON a.ordinal = ordinal_a JOIN n b ON b.ordinal = ordinal_b WHERE k >= 0.6 * (a.n + b.n - k))"""
+#: First-come acceptance, row after row: a row is a case if an earlier row it repeats was accepted.
+_ARRIVALS = """
+u AS (SELECT ordinal, {address} AS url FROM job WHERE url IS NOT NULL AND url <> ''),
+repeats AS (SELECT ordinal_a, ordinal_b FROM pairs UNION SELECT a.ordinal, b.ordinal FROM u a JOIN u b ON a.url = b.url AND a.ordinal < b.ordinal),
+todo AS (SELECT row_number() OVER (ORDER BY ordinal_b) AS i, ordinal_b, list(ordinal_a ORDER BY ordinal_a) AS before FROM repeats GROUP BY ordinal_b),
+state AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS cases, NULL::BIGINT AS ordinal_a, NULL::BIGINT AS ordinal_b
+  UNION ALL SELECT t.i, CASE WHEN len(list_filter(t.before, lambda x: NOT list_contains(s.cases, x))) > 0 THEN list_append(s.cases, t.ordinal_b) ELSE s.cases END,
+    list_filter(t.before, lambda x: NOT list_contains(s.cases, x))[1], t.ordinal_b FROM state s JOIN todo t ON t.i = s.i + 1)
+SELECT ordinal_a, ordinal_b FROM state WHERE ordinal_a IS NOT NULL"""
+ORACLES: dict[str, str] = {
+    "p2_found": f"WITH {_PAIRS} SELECT ordinal_a, ordinal_b FROM pairs",
+    "p2_classes": f"""WITH {_PAIRS}, k AS (SELECT ordinal, min(ordinal) OVER (PARTITION BY w) AS class_ordinal FROM w),
+l AS (SELECT DISTINCT a.class_ordinal AS a, b.class_ordinal AS b FROM pairs JOIN k a ON a.ordinal = ordinal_a JOIN k b ON b.ordinal = ordinal_b WHERE a.class_ordinal <> b.class_ordinal),
+e AS (SELECT c, count(DISTINCT d) AS links FROM (SELECT a AS c, b AS d FROM l UNION SELECT b, a FROM l) GROUP BY c)
+SELECT ordinal, class_ordinal, coalesce(links, 0) AS links FROM k LEFT JOIN e ON c = class_ordinal""",
+    "p4_found": f"WITH RECURSIVE {_PAIRS}, " + _ARRIVALS.replace("{address} AS url FROM job WHERE url IS NOT NULL AND url <> ''", "url FROM (" + CANONICAL + ")"),
 }
