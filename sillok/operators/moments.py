@@ -160,13 +160,13 @@ def normal_moments(raw: Column, hour: Column, minute: Column, zone: Column, defa
 
 
 def estimate_zone_history(
-    df: DataFrame, group: str, wall: str, ingested: str, zones: tuple[str, ...], *, earliest_hours: int = -24, latest_hours: int = 0, change_cost: float = 3.0, bucket_days: int = 7
+    df: DataFrame, group: str, wall: str, ingested: str, zones: tuple[str, ...], *, earliest_hours: int = -24, latest_hours: int = 0, change_cost: float = 3.0, change_share: float = 0.0, bucket_days: int = 7
 ) -> DataFrame:
     """The zone history of each group with the fewest violations: ``group, from_day, zone, violations, readings``.
 
     ``wall`` (timestamp_ntz) are local readings without zone, ``ingested`` (timestamp_ntz, UTC) when each was taken in. A reading violates a zone if its UTC moment lies before
     ``earliest_hours`` or after ``latest_hours`` from its ingestion, so both sides bind the offset. Counts are taken per group, bucket of ``bucket_days`` and zone (pre-aggregated, so a hot group is one short
-    table), then a Viterbi pass over the buckets chooses the history with the least violations plus ``change_cost`` a change. The zone listed first is what is held before: another one at the start
+    table), then a Viterbi pass over the buckets chooses the history with the least violations plus, for each change, ``change_cost`` and ``change_share`` of the group's readings (readings that violate every zone by chance differ a little between zones, in proportion to their number). The zone listed first is what is held before: another one at the start
     is a change too, and ties stay with the earlier listed. Rows with a null in any of the three columns take no part; an empty table gives no rows.
     """
     if group in ("from_day", "zone", "violations", "readings"):
@@ -185,9 +185,10 @@ def estimate_zone_history(
     def history(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_b")
         cost = pdf[[f"_v{k}" for k in range(len(names))]].to_numpy(float)
-        best, back = cost[0] + [k * 1e-9 + change_cost * (k > 0) for k in range(len(names))], []
+        change = change_cost + change_share * float(pdf["_n"].sum())
+        best, back = cost[0] + [k * 1e-9 + change * (k > 0) for k in range(len(names))], []
         for row in cost[1:]:
-            stay, move = best, best.min() + change_cost
+            stay, move = best, best.min() + change
             back.append([k if stay[k] <= move else int(best.argmin()) for k in range(len(names))])
             best = row + pd.Series(stay).clip(upper=move).to_numpy()
         path = [int(best.argmin())]

@@ -16,6 +16,8 @@ CANDIDATE_ZONES = (STATED_ZONE, "UTC", "America/New_York", "America/Los_Angeles"
 
 #: A closing time lies after the moment its posting was taken in and not more than this many days ahead.
 MOST_DAYS = 400
+#: Share of a source's readings that must speak for another zone than the stated one: postings taken in late violate every zone, and some of them one zone more than another.
+CHANGE_SHARE = 0.1
 
 
 def _closing_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +41,7 @@ def _histories(rows: DataFrame) -> DataFrame:
     read = _read(rows.filter("site IS NOT NULL AND seen IS NOT NULL"), F.lit(None).cast("string"))
     seen = F.try_to_timestamp("seen")
     local = read.filter(F.col("norm").rlike(r"T[0-9:.]+$")).select("site", F.col("norm").try_cast("timestamp_ntz").alias("wall"), F.convert_timezone(F.current_timezone(), F.lit("UTC"), seen.cast("timestamp_ntz")).alias("ingested"))
-    return estimate_zone_history(local, "site", "wall", "ingested", CANDIDATE_ZONES, earliest_hours=0, latest_hours=24 * MOST_DAYS)
+    return estimate_zone_history(local, "site", "wall", "ingested", CANDIDATE_ZONES, earliest_hours=0, latest_hours=24 * MOST_DAYS, change_share=CHANGE_SHARE)
 
 
 def p1_zone_histories(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -224,7 +224,7 @@ def _listed(raw: str) -> str:
     day = f"try_cast(lpad({part(1)}, 4, '0') || '-' || {part(2)} || '-' || {part(3)} AS DATE)"
     day = day.replace(f"lpad({part(1)}, 4, '0')", f"regexp_split_to_array({last}, '[-./]')[1]")
     moment = f"try_cast({day}::VARCHAR || ' ' || lpad(CASE WHEN length({clock}) < 6 THEN {clock} || ':00' ELSE {clock} END, 8, '0') AS TIMESTAMP)"
-    listed = f"CASE WHEN {clock} = '' THEN {day}::VARCHAR ELSE strftime({moment}, '%Y-%m-%dT%H:%M:%S') || '+09:00' END"
+    listed = f"CASE WHEN {clock} = '' THEN {day}::VARCHAR WHEN {clock} LIKE '24:%' THEN NULL ELSE strftime({moment}, '%Y-%m-%dT%H:%M:%S') || '+09:00' END"
     iso = f"CASE WHEN length({raw}) = 10 THEN try_cast({raw} AS DATE)::VARCHAR WHEN regexp_matches({raw}, 'T.*(Z|[+-][0-9]{{2}}:?[0-9]{{2}})$') AND try_cast({raw} AS TIMESTAMPTZ) IS NOT NULL THEN regexp_replace({raw}, 'Z$', '+00:00') END"
     return f"CASE WHEN {raw} <> '' AND NOT regexp_matches({raw}, '(?i)상시|채용 ?시|9999|2999|until') THEN CASE WHEN regexp_matches({raw}, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}(T\\S+)?$') THEN {iso} ELSE {listed} END END"
 
