@@ -157,17 +157,9 @@ def cells_of(signed: DataFrame, *more: str) -> DataFrame:
 
 
 def candidates(cells: DataFrame) -> DataFrame:
-    """Distinct pairs ``a < b`` of the classes that share a cell.
-
-    The cells meet in one exchange. Nearly all hold one class or two, and these need no join: the smallest and the largest of a cell are its pair. Only cells of three classes and more are joined with
-    themselves, over the same exchange; a hot one is split by the adaptive skew join.
-    """
-    met = cells.repartition("cell")
-    counted = met.groupBy("cell").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.count(F.lit(1)).alias("n"))
-    crowded = met.join(counted.filter("n > 2").select("cell").hint("shuffle_hash"), "cell", "left_semi")
-    joined = crowded.alias("l").join(crowded.alias("r"), (F.col("l.cell") == F.col("r.cell")) & (F.col("l.rep") < F.col("r.rep")))
-    pairs = counted.filter("n = 2 AND a <> b").select("a", "b").unionByName(joined.select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b")))
-    return pairs.distinct()
+    """Distinct pairs ``a < b`` of the classes that share a cell. Both sides are one exchange; a hot cell is split by the adaptive skew join."""
+    pairs = cells.alias("l").join(cells.alias("r"), (F.col("l.cell") == F.col("r.cell")) & (F.col("l.rep") < F.col("r.rep")))
+    return pairs.select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b")).distinct()
 
 
 def sizes_allow(a: Column, b: Column, like: Likeness) -> Column:

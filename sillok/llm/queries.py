@@ -124,8 +124,8 @@ pairs AS (SELECT ordinal_a, ordinal_b FROM c JOIN n a ON a.ordinal = ordinal_a J
 #: First-come acceptance, row after row: a row is a case if an earlier row it repeats was accepted.
 _ARRIVALS = """
 u AS (SELECT ordinal, {address} AS url FROM job WHERE url IS NOT NULL AND url <> ''),
-repeats AS (SELECT ordinal_a, ordinal_b FROM pairs UNION SELECT a.ordinal, b.ordinal FROM u a JOIN u b ON a.url = b.url AND a.ordinal < b.ordinal),
-todo AS (SELECT row_number() OVER (ORDER BY ordinal_b) AS i, ordinal_b, list(ordinal_a ORDER BY ordinal_a) AS before FROM repeats GROUP BY ordinal_b),
+repeats AS MATERIALIZED (SELECT ordinal_a, ordinal_b FROM pairs UNION SELECT a.ordinal, b.ordinal FROM u a JOIN u b ON a.url = b.url AND a.ordinal < b.ordinal),
+todo AS MATERIALIZED (SELECT row_number() OVER (ORDER BY ordinal_b) AS i, ordinal_b, list(ordinal_a ORDER BY ordinal_a) AS before FROM repeats GROUP BY ordinal_b),
 state AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS cases, NULL::BIGINT AS ordinal_a, NULL::BIGINT AS ordinal_b
   UNION ALL SELECT t.i, CASE WHEN len(list_filter(t.before, lambda x: NOT list_contains(s.cases, x))) > 0 THEN list_append(s.cases, t.ordinal_b) ELSE s.cases END,
     list_filter(t.before, lambda x: NOT list_contains(s.cases, x))[1], t.ordinal_b FROM state s JOIN todo t ON t.i = s.i + 1)
