@@ -6,6 +6,8 @@ import json
 import os
 import tempfile
 import time
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -52,15 +54,32 @@ def write_version(df: DataFrame, root: str) -> str:
     return name
 
 
+@contextmanager
+def sole_writer(root: str, spark: SparkSession, patience: float = 10.0) -> Iterator[None]:
+    """Hold a table's lock file while writing; TimeoutError if another writer keeps it longer than ``patience`` seconds. A foreign lock is never removed."""
+    fs, lock, _ = _fs(spark, f"{root}/.lock")
+    fs.mkdirs(lock.getParent())
+    until = time.monotonic() + patience
+    while not fs.createNewFile(lock):  # creates or refuses in one step
+        if time.monotonic() >= until:
+            raise TimeoutError(f"{root} is being written")
+        time.sleep(0.1)
+    try:
+        yield
+    finally:
+        fs.delete(lock, False)
+
+
 def save_observations(fresh: DataFrame, root: str, ordinal: str = "ordinal") -> DataFrame:
-    """Merge fresh postings into the stored observations and return the shown records; sources that failed delete nothing. One writer at a time is assumed.
+    """Merge fresh postings into the stored observations and return the shown records; sources that failed delete nothing. One writer at a time holds the table's lock.
 
     What is stored are the distinct observations (``merge.upsert``), so their number grows with what was really seen and a repeated save writes nothing.
     """
     spark = fresh.sparkSession
-    changed = upsert(fresh, read_current(spark, root), ordinal)
-    if changed is not None:
-        write_version(changed, root)
+    with sole_writer(root, spark):
+        changed = upsert(fresh, read_current(spark, root), ordinal)
+        if changed is not None:
+            write_version(changed, root)
     return winners(read_current(spark, root), ordinal)
 
 

@@ -51,6 +51,16 @@ def test_versions(spark, tmp_path):
     assert len(list((tmp_path / "t").glob("v*"))) == 3
 
 
+def test_sole_writer(spark, tmp_path):
+    root = str(tmp_path / "t")
+    with sinks.sole_writer(root, spark):
+        with pytest.raises(TimeoutError), sinks.sole_writer(root, spark, 0.2):
+            pass
+    with sinks.sole_writer(root, spark, 0):
+        assert (tmp_path / "t" / ".lock").exists()
+    assert not (tmp_path / "t" / ".lock").exists()
+
+
 def test_profile_and_cli(spark, tmp_path, capsys):
     good = {"display_name": "a", "experience_level": "", "target_roles": ["x"], "keywords": ["Python"], "preferred_locations": [], "excluded_keywords": [], "stories": []}
     path = tmp_path / "p.json"
