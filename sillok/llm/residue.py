@@ -24,6 +24,8 @@ DEPTH, LONG, DEPTH_LONG, SIMILAR = 2, 12, 5, 0.5
 TERSE = 4
 #: Parts a leaf is mined in, so that no leaf is one task's work; a verdict needs no other part.
 PARTS = 8
+#: Most lines that wait for the verdict of their templates; in a fuller leaf the first ones are judged by the templates as they are by then, so that no leaf is held whole.
+HELD = 100_000
 #: Most distinct residue lines that are broadcast back to the records; beyond it the join shuffles.
 BROADCAST_LINES = 50_000
 
@@ -143,7 +145,7 @@ def _mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ready: tuple[list[str], list[str], list[str]] = ([], [], [])
         for leaf, line in zip(batch.column("leaf").to_pylist(), batch.column("line").to_pylist(), strict=True):
-            if leaf != tree.leaf and held:
+            if held and (leaf != tree.leaf or len(held) >= HELD):
                 for store, more in zip(ready, settle(), strict=True):
                     store.extend(more)
             tokens = line.split()
