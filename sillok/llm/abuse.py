@@ -205,9 +205,12 @@ def gram_ratios(counted: DataFrame, abusive: Abusive) -> DataFrame:
 
     Both are interpolated from the pair of letters upwards. A context has no more successors than there are letters, so its window stays short.
     """
-    uses = {ORDER: counted.groupBy("gram").agg(F.sum("use").alias("use"))}
+    spark = counted.sparkSession
+    keep = lambda df: stored(df, scratch_path(spark, "uses"))
+    # each order is counted once from the one above it
+    uses = {ORDER: keep(counted.groupBy("gram").agg(F.sum("use").alias("use")))}
     for k in range(ORDER - 1, 1, -1):
-        uses[k] = uses[k + 1].groupBy(F.right("gram", F.lit(k)).alias("gram")).agg(F.count_if(F.col("use") > 0).alias("use"))
+        uses[k] = keep(uses[k + 1].groupBy(F.right("gram", F.lit(k)).alias("gram")).agg(F.count_if(F.col("use") > 0).alias("use")))
     of_context = lambda k: Window.partitionBy(F.left("gram", F.lit(k - 1)))
     with_context = lambda df, k: df.withColumns({"total": F.sum("use").over(of_context(k)), "kinds": F.count_if(F.col("use") > 0).over(of_context(k))})
     chance = lambda lower: F.when(F.col("total") > 0, F.greatest(F.col("use") - DISCOUNT, F.lit(0.0)) / F.col("total") + DISCOUNT * F.col("kinds") / F.col("total") * lower).otherwise(lower)
