@@ -43,7 +43,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every collection run is a batch of its own, checked against the index of all runs before it."""
+    """The older half of the collection runs is taken in at once as history; every later run is a batch of its own, checked against the index of all before it."""
     job = table(spark, sf_dir, "job")
     long_enough = F.size(neardup.words(F.coalesce("description", F.lit("")))) >= LEAST_WORDS
     rows = job.select(
@@ -51,8 +51,10 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(long_enough, neardup.plain_text("title", "company", "description")).alias("text"),
     )
     index = HistoryIndex(spark, scratch_path(spark, "history"), POSTINGS_ALIKE)
-    for run in job.groupBy("batch_no").agg(F.min("ordinal").alias("first")).orderBy("first").collect():  # one row a run
-        index.add_batch(rows.filter(F.col("batch_no").eqNullSafe(run["batch_no"])))
+    runs = [r["batch_no"] for r in job.groupBy("batch_no").agg(F.min("ordinal").alias("first")).orderBy("first").collect()]  # one row a run
+    old, new = runs[: len(runs) // 2], runs[len(runs) // 2 :]
+    for batch in [old] * bool(old) + [[run] for run in new]:
+        index.add_batch(rows.filter(F.col("batch_no").isin([r for r in batch if r is not None]) | (F.col("batch_no").isNull() & F.lit(None in batch))))
         give_back(spark)
     found = index.cases() if index.batches else spark.createDataFrame([], "id_a long, id_b long")
     return found.select(F.col("id_a").alias("ordinal_a"), F.col("id_b").alias("ordinal_b"))
