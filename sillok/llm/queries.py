@@ -43,7 +43,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The older half of the collection runs is taken in at once as history; every later run is a batch of its own, checked against the index of all before it."""
+    """The older three quarters of the collection runs are taken in at once as history; every later run is a batch of its own, checked against the index of all before it."""
     job = table(spark, sf_dir, "job")
     long_enough = F.size(neardup.words(F.coalesce("description", F.lit("")))) >= LEAST_WORDS
     rows = job.select(
@@ -52,7 +52,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     index = HistoryIndex(spark, scratch_path(spark, "history"), POSTINGS_ALIKE)
     runs = [r["batch_no"] for r in job.groupBy("batch_no").agg(F.min("ordinal").alias("first")).orderBy("first").collect()]  # one row a run
-    old, new = runs[: len(runs) // 2], runs[len(runs) // 2 :]
+    old, new = runs[: 3 * len(runs) // 4], runs[3 * len(runs) // 4 :]
     for batch in [old] * bool(old) + [[run] for run in new]:
         index.add_batch(rows.filter(F.col("batch_no").isin([r for r in batch if r is not None]) | (F.col("batch_no").isNull() & F.lit(None in batch))))
         give_back(spark)
